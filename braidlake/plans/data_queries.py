@@ -116,24 +116,24 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_link_counts, p2_p
 _SPACE = "".join(f"\\x{{{ord(c):04X}}}" for c in WHITESPACE)
 
 
-def _id(x: str) -> str:
+def id_sql(x: str) -> str:
     return f"regexp_replace({x}, '^[{_SPACE}]+|[{_SPACE}+-]+$', '', 'g')"
 
 
-_LINKS = f"SELECT {_id('from_segment')} AS seg_id, {_id('to_segment')} AS neighbour FROM links"
-_STEPS = f"SELECT rec_id, {_id('u.seg')} AS seg_id FROM (SELECT rec_id, unnest(segments) AS u FROM paths)"
+_LINKS = f"SELECT {id_sql('from_segment')} AS seg_id, {id_sql('to_segment')} AS neighbour FROM links"
+_STEPS = f"SELECT rec_id, {id_sql('u.seg')} AS seg_id FROM (SELECT rec_id, unnest(segments) AS u FROM paths)"
 _LOADED = (
-    f"SELECT {_id('id')} AS seg_id, length, loaded_at, deleted_at FROM segments UNION ALL "
-    f"SELECT {_id('id')}, length, loaded_at, NULL FROM anchor_segments"
+    f"SELECT {id_sql('id')} AS seg_id, length, loaded_at, deleted_at FROM segments UNION ALL "
+    f"SELECT {id_sql('id')}, length, loaded_at, NULL FROM anchor_segments"
 )
 _ORPHANS = f"""
 WITH loaded AS (SELECT seg_id, loaded_at, coalesce(deleted_at, TIMESTAMP '9999-12-31') AS gone FROM ({_LOADED})),
 refs AS (
   SELECT 'links' AS table_name, rec_id, seg_id, min(loaded_at) AS t FROM (
-    SELECT rec_id, {_id('from_segment')} AS seg_id, loaded_at FROM links UNION ALL SELECT rec_id, {_id('to_segment')}, loaded_at FROM links)
+    SELECT rec_id, {id_sql('from_segment')} AS seg_id, loaded_at FROM links UNION ALL SELECT rec_id, {id_sql('to_segment')}, loaded_at FROM links)
   GROUP BY ALL
   UNION ALL
-  SELECT 'paths', rec_id, {_id('u.seg')} AS seg_id, min(loaded_at) FROM (SELECT rec_id, loaded_at, unnest(segments) AS u FROM paths) GROUP BY ALL)
+  SELECT 'paths', rec_id, {id_sql('u.seg')} AS seg_id, min(loaded_at) FROM (SELECT rec_id, loaded_at, unnest(segments) AS u FROM paths) GROUP BY ALL)
 SELECT table_name, rec_id, seg_id, t FROM refs
 WHERE seg_id <> '' AND NOT EXISTS (SELECT 1 FROM loaded AS l WHERE l.seg_id = refs.seg_id AND l.loaded_at <= t AND l.gone > t)
 """

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.functions.ids import step_ids, step_key
+from braidlake.llm.leaks import leaked, leaked_items
 from braidlake.llm.setjoin import similar_records
 from braidlake.llm.spans import shared_amounts, shared_spans
 from braidlake.plans.data_queries import id_sql
@@ -42,7 +43,17 @@ def p3_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return shared_amounts(_sequences(spark, folder), LEAST_STEPS).withColumnRenamed("record", "rec_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_amounts)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that show at least 12 consecutive words of a held-out item."""
+    return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out items that leaked, with the number of documents that show them."""
+    return leaked_items(leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_amounts, p7_found, p7_items)}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from braidlake.functions.ids import step_ids, step_key
 from braidlake.llm.leaks import leaked, leaked_items
+from braidlake.llm.packing import packed, token_counts
+from braidlake.llm.reading import reading_levels
 from braidlake.llm.setjoin import similar_records
 from braidlake.llm.spans import shared_amounts, shared_spans
 from braidlake.plans.data_queries import id_sql
@@ -43,6 +45,11 @@ def p3_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return shared_amounts(_sequences(spark, folder), LEAST_STEPS).withColumnRenamed("record", "rec_id")
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Container and place of every text, for running the operator over the whole table."""
+    return packed(token_counts(table(spark, folder, "documents"))).withColumnRenamed("item_id", "doc_id")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that show at least 12 consecutive words of a held-out item."""
     return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
@@ -53,7 +60,12 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_amounts, p7_found, p7_items)}
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading level of every document, for running the operator over the whole table."""
+    return reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_amounts, p6_containers, p7_found, p7_items, p8_levels)}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------
 

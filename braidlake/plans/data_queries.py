@@ -72,8 +72,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    """Failing records per table and reason."""
-    return rejected(spark, folder).groupBy("table_name", "reason").agg(F.count("*").alias("n_records"))
+    """Failing records with the reason."""
+    return rejected(spark, folder)
 
 
 # --- orphan references --------------------------------------------------------------------------------------------

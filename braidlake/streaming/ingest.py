@@ -15,9 +15,12 @@ EDGE_TYPES = ("L", "E", "C")
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """(value, ord) of files appearing in `folder`; ord is the file's time, its name, and the line's number within the task."""
+    """(value, ord) of files appearing in `folder`; ord is the file's time, its name and the block.
+
+    Streams can't number lines, so those of one block are of equal rank; where the order within a file matters, read it in batch.
+    """
     text = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    ord_ = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+    ord_ = F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     return text.select("value", ord_.alias("ord"))
 
 
@@ -27,7 +30,7 @@ def stream_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_edges(records: DataFrame) -> DataFrame:
-    """(src, dst, orientation_from, orientation_to, n_records) so far: the last record of an edge wins. For output mode update or complete."""
+    """(src, dst, orientation_from, orientation_to, n_records) so far: the last record of an edge wins, of equal rank the one with the greater orientations. For output mode update or complete."""
     edges = records.where(F.col("rec_type").isin(*EDGE_TYPES))
     last = F.max(F.struct("ord", "orientation_from", "orientation_to"))
     return edges.groupBy("src", "dst").agg(last.alias("last"), F.count("*").alias("n_records")).select("src", "dst", "last.orientation_from", "last.orientation_to", "n_records")

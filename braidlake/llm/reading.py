@@ -7,7 +7,9 @@ expected grade, so it is comparable with the grades themselves.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,39 +76,51 @@ def document_counts(documents: DataFrame, text: str = "text") -> tuple[np.ndarra
     return counts, int(rows[rows.bucket < 0].n.sum())
 
 
-def features(text: str, rarity: dict[str, float], rare: float) -> list[float] | None:
-    """FEATURES of a text; None if it has no words. `rarity` gives a word's, filling itself; from `rare` on a word is rare."""
+class Lexicon(dict):
+    """Word to (letters, vowel groups, rarity, long, rare, connective, subordinator), filled as words come.
+
+    Rarity is the negative logarithm of the share of documents with the word; a word in fewer than 0.2 % of them is rare.
+    """
+
+    def __init__(self, counts: np.ndarray, n: int):
+        self.scores = np.log((n + 1) / (counts + 1))
+        self.rare = float(np.log((n + 1) / (0.002 * n + 1)))
+
+    def __missing__(self, word: str) -> tuple[int, int, float, bool, bool, bool, bool]:
+        score = float(self.scores[_bucket(word)])
+        found = (len(word), len(_vowels.findall(word)), score, len(word) >= 10, score >= self.rare, word in CONNECTIVES, word in SUBORDINATORS)
+        if len(self) < 1_000_000:  # a memo only
+            self[word] = found
+        return found
+
+
+def features(text: str, lexicon: Lexicon) -> list[float] | None:
+    """FEATURES of a text; None if it has no words."""
     printed = typeset(text).lower()
     found = _letters.findall(printed)
     n = len(found)
     if not n:
         return None
-    sentences = max(1, sum(1 for _ in _sentence.finditer(printed)))
-    lengths = [len(w) for w in found]
-    scores = [rarity[w] for w in found]
+    sentences = max(1, len(_sentence.findall(printed)))
     # Share of distinct words in a window of 50, averaged over the text, so that it doesn't follow the length.
     if n <= 50:
         diversity = len(set(found)) / n
     else:
-        diversity = float(np.mean([len(set(found[i : i + 50])) for i in range(0, n - 49, 25)])) / 50
-    opened = sum(w in SUBORDINATORS for w in found) + sum(1 for _ in _inner.finditer(printed))
-    return [
-        float(np.log1p(n)), sum(lengths) / n, sum(x >= 10 for x in lengths) / n, sum(1 for _ in _vowels.finditer(printed)) / n, diversity, sum(scores) / n, sum(x >= rare for x in scores) / n,
-        sum(w in CONNECTIVES for w in found) / n, opened / sentences, float(np.log(n / sentences)), sum(1 for _ in _inner.finditer(printed)) / n,
-    ]
-
-
-class _Rarity(dict):
-    """Word to the negative logarithm of its share of documents, filled as words come."""
-
-    def __init__(self, counts: np.ndarray, n: int):
-        self.scores = np.log((n + 1) / (counts + 1))
-
-    def __missing__(self, word: str) -> float:
-        score = float(self.scores[_bucket(word)])
-        if len(self) < 1_000_000:  # a memo only
-            self[word] = score
-        return score
+        windows = range(0, n - 49, 25)
+        diversity = sum(len(set(found[i : i + 50])) for i in windows) / len(windows) / 50
+    letters = vowels = long = rare = connectives = opening = 0
+    rarity = 0.0
+    for word, times in Counter(found).items():
+        a, v, score, is_long, is_rare, connects, opens = lexicon[word]
+        letters += a * times
+        vowels += v * times
+        rarity += score * times
+        long += is_long * times
+        rare += is_rare * times
+        connectives += connects * times
+        opening += opens * times
+    inner = len(_inner.findall(printed))
+    return [math.log1p(n), letters / n, long / n, vowels / n, diversity, rarity / n, rare / n, connectives / n, (opening + inner) / sentences, math.log(n / sentences), inner / n]
 
 
 def document_features(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,9 +129,9 @@ def document_features(documents: DataFrame, doc_id: str = "doc_id", text: str =
     shared = documents.sparkSession.sparkContext.broadcast((counts, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, rare = _Rarity(*shared.value), float(np.log((n + 1) / (0.002 * n + 1)))
+        lexicon = Lexicon(*shared.value)
         for batch in batches:
-            x = [features(t.as_py(), rarity, rare) if t.is_valid else None for t in batch.column("text")]
+            x = [features(t.as_py(), lexicon) if t.is_valid else None for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, x array<double>")

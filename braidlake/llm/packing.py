@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.session import checkpointed
@@ -22,6 +22,8 @@ from braidlake.session import checkpointed
 CAPACITY = 2048
 #: Items in a shard, on average.
 SHARD = 20_000
+#: Copies of one row that are made at a time.
+CHUNK = 10_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which the tokenizer's vocabulary splits text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -89,7 +91,12 @@ def packed(items: DataFrame, capacity: int = CAPACITY, max_segments: int = 256,
     loss_capacity = loss_capacity or capacity
     loss = F.least(F.col("loss_tokens"), F.col("tokens")) if "loss_tokens" in items.columns else F.col("tokens")
     sized = items.select("item_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.coalesce(loss, F.lit(0)).cast("bigint").alias("loss"))
-    copies = sized.groupBy("item_id", "tokens", "loss").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).drop("n")
+    alike = sized.groupBy("item_id", "tokens", "loss").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("item_id").orderBy("tokens", "loss").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranged = alike.withColumn("first", before + 1).withColumn("last", F.col("first") + F.col("n") - 1)
+    # in two steps, as one row repeated very often would make one very long array
+    chunks = ranged.withColumn("chunk", F.explode(F.sequence(F.col("first"), F.col("last"), F.lit(CHUNK).cast("bigint"))))
+    copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk"), F.least("last", F.col("chunk") + CHUNK - 1)))).select("item_id", "tokens", "loss", "copy")
     # Loss is taken to be spread evenly, so a piece's limit in tokens follows from the item's share of it.
     by_loss = F.greatest(F.floor(F.col("tokens") * F.lit(loss_capacity) / F.col("loss")), F.lit(1))
     size = F.when(F.col("loss") > loss_capacity, F.least(F.lit(capacity), by_loss)).otherwise(F.lit(capacity)).cast("bigint")

@@ -89,19 +89,23 @@ def parse_lines(lines: DataFrame, mode: str = "FAILFAST", strict_gfa2: bool = Fa
     """
     if mode not in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
         raise ValueError(f"unknown mode: {mode}")
-    kept = lines.where(F.left("value", F.lit(1)).isin(*RECORD_TYPES)).withColumn("f", F.split("value", "\t", -1))
-    f = lambda i: F.get(F.col("f"), F.lit(i))
-    n = F.size("f")
-    kind = f(0)
-    kept = kept.where(kind.isin(*RECORD_TYPES))
+    # Conditions are on the line itself, so that a filter by record type comes before any line is split.
+    kind = F.substring_index("value", "\t", 1)
+    n = F.length("value") - F.length(F.replace("value", F.lit("\t"))) + 1
+    kept = lines.where(kind.isin(*RECORD_TYPES))
     short = F.lit(False)
     for k, least in LEAST_FIELDS.items():
         short = short | ((kind == k) & (n < least))
     reason = F.concat(F.lit("Malformed "), kind, F.lit(" record"))
     if mode == "FAILFAST":
-        kept = kept.where(F.when(short, F.raise_error(reason).cast("boolean")).otherwise(F.lit(True)))
+        # A column that is not deterministic isn't merged with the caller's own filters: merged with one that gives null, it
+        # would be evaluated on lines which that filter leaves out.
+        checked = F.when(short & (F.spark_partition_id() >= 0), F.raise_error(reason).cast("boolean")).otherwise(F.lit(True))
+        kept = kept.select("value", "ord", checked.alias("_ok")).where("_ok")
     elif mode == "DROPMALFORMED":
         kept = kept.where(~short)
+    kept = kept.select("value", "ord", F.split("value", "\t", -1).alias("f"))
+    f = lambda i: F.get(F.col("f"), F.lit(i))
 
     is_s, is_l, is_e, is_c = (kind == k for k in "SLEC")
     is_path = kind.isin("P", "O")

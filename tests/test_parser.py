@@ -114,3 +114,11 @@ def test_order_over_many_splits(spark, tmp_path):
         assert [r.id for r in rows.orderBy("ord").select("id").collect()] == [f"s{i}" for i in range(3000)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_left_out_by_the_caller_raise_nothing(spark, tmp_path):
+    rows = [("O", "w1", "s1+"), ("O", None, None), ("O", "w2", None), ("P", "p1", "s1+")]
+    spark.createDataFrame(rows, "k string, name string, steps string").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t")).where("name is not null and length(steps) > 0")
+    lines = table.select(F.concat_ws("\t", "k", "name", "steps").alias("value"), F.col("name").alias("ord"))
+    assert sorted(r.name for r in parse_lines(lines).where("rec_type in ('O', 'P')").collect()) == ["p1", "w1"]

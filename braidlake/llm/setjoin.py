@@ -68,21 +68,22 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _buckets(hashed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, class) for every band of every class."""
+def _signed(classes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(class, items, hashes, buckets): hashed items and one bucket per band, kept together in one row per class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 flat, lengths = _lists(batch.column("hashes"))
                 buckets = band_buckets(flat.view(np.uint64), np.cumsum(lengths) - lengths, bands, rows).view(np.int64)
-                for band in range(bands):
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets[:, band]), batch.column("class")], ["key", "class"])
+                column = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * batch.num_rows + 1, bands), pa.int32()), pa.array(buckets.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "buckets"])
 
-    return hashed.select("hashes", "class").mapInArrow(run, "key bigint, class string")
+    hashed = classes.select("class", "items", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
+    return hashed.mapInArrow(run, "class bigint, items array<string>, hashes array<bigint>, buckets array<bigint>")
 
 
-def _prefixes(hashed: DataFrame, common: list[int], threshold: float) -> DataFrame:
+def _prefixes(signed: DataFrame, common: list[int], threshold: float) -> DataFrame:
     """(class, item) for the items of each set's prefix."""
     ordered = np.array(common, dtype=np.int64)
 
@@ -93,7 +94,7 @@ def _prefixes(hashed: DataFrame, common: list[int], threshold: float) -> DataFra
                 classes = batch.column("class").take(pa.array(np.repeat(np.arange(batch.num_rows), keep)))
                 yield pa.RecordBatch.from_arrays([classes, pa.array(items)], ["class", "item"])
 
-    return hashed.select("hashes", "class").mapInArrow(run, "class string, item bigint")
+    return signed.select("hashes", "class").mapInArrow(run, "class bigint, item bigint")
 
 
 def _pairs_of(group: Column) -> Column:
@@ -123,23 +124,28 @@ def paired(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def set_classes(sets: DataFrame, record: str, items: str) -> tuple[DataFrame, DataFrame]:
-    """(class, items) once per distinct set, and (class, record) once per record. Null and empty sets don't count; null items are dropped."""
-    cleaned = sets.select(F.col(record).alias("record"), F.array_sort(F.array_distinct(F.filter(F.col(items), lambda x: x.isNotNull()))).alias("items")).where("size(items) > 0")
-    keyed = cleaned.withColumn("class", F.md5(F.to_json("items")))
-    classes = keyed.groupBy("class").agg(F.first("items").alias("items"))
-    return classes, keyed.select("class", "record").distinct()
+    """(class, items) once per distinct set, and (class, record) once per record; the class is the least record of it.
+
+    Null and empty sets don't count; null items are dropped. Record ids are whole numbers.
+    """
+    cleaned = sets.select(F.col(record).cast("bigint").alias("record"), F.array_sort(F.array_distinct(F.filter(F.col(items), lambda x: x.isNotNull()))).alias("items")).where("size(items) > 0")
+    keyed = cleaned.where("record is not null").withColumn("digest", F.md5(F.to_json("items")))
+    classes = checkpointed(keyed.groupBy("digest").agg(F.min("record").alias("class"), F.first("items").alias("items")))
+    # the digest of a set that very many records have is met by broadcast
+    members = skewed_join(keyed.select("digest", "record"), classes.select("digest", "class"), ["digest"], share=0.01)
+    return classes.select("class", "items"), members.select("class", "record").distinct()
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of different classes (class, items) whose sets have |A and B| / |A or B| >= threshold."""
     bands, rows = next(s for least, s in SIGNATURES if threshold >= least)
-    hashed = checkpointed(classes.withColumn("hashes", F.transform("items", lambda x: F.xxhash64(x))))
-    sized = checkpointed(_sized(checkpointed(_buckets(hashed, bands, rows)), ["key"], share=0.05 / bands))
+    signed = checkpointed(_signed(classes, bands, rows))
+    sized = checkpointed(_sized(signed.select(F.explode("buckets").alias("key"), "class"), ["key"], share=0.05 / bands))
     # Large buckets are regrouped by rare items.
-    common = frequent_candidates(hashed.select(F.explode("hashes").alias("h")), "h", COMMON)
-    hot = sized.where(F.col("n") > CAP).drop("n").join(_prefixes(hashed, common, threshold), "class").select("key", "item", "class")
+    common = frequent_candidates(signed.select(F.explode("hashes").alias("h")), "h", COMMON)
+    hot = sized.where(F.col("n") > CAP).drop("n").join(_prefixes(signed, common, threshold), "class").select("key", "item", "class")
     candidates = paired(sized.where(F.col("n") <= CAP), ["key"], "class").unionByName(paired(_sized(hot, ["item", "key"], share=0.01), ["item", "key"], "class")).distinct()
-    a, b = (hashed.select(F.col("class").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+    a, b = (signed.select(F.col("class").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
     both = candidates.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("items_a", "items_b")))
     return both.where(F.col("n") / (F.size("items_a") + F.size("items_b") - F.col("n")) >= F.lit(threshold)).select("a", "b")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,9 +106,13 @@ def parse_lines(lines: DataFrame, mode: str = "FAILFAST", strict_gfa2: bool = Fa
         kept = kept.select("value", "ord", checked.alias("_ok")).where("_ok")
     elif mode == "DROPMALFORMED":
         kept = kept.where(~short)
-    kept = kept.select("value", "ord", F.split("value", "\t", -1).alias("f"))
-    f = lambda i: F.get(F.col("f"), F.lit(i))
+    extra = [F.when(short, reason).alias("malformed")] if mode == "PERMISSIVE" else []
+    return parse_fields(kept.select("value", "ord", F.split("value", "\t", -1).alias("f")), kind, n, strict_gfa2, extra)
 
+
+def parse_fields(rows: DataFrame, kind: Column, n: Column, strict_gfa2: bool, extra: Iterable[Column] = ()) -> DataFrame:
+    """Records of rows (ord, f array of fields) of the given kind with n fields each, and the extra columns."""
+    f = lambda i: F.get(F.col("f"), F.lit(i))
     is_s, is_l, is_e, is_c = (kind == k for k in "SLEC")
     is_path = kind.isin("P", "O")
     length = integer(f(2))
@@ -144,9 +150,7 @@ def parse_lines(lines: DataFrame, mode: str = "FAILFAST", strict_gfa2: bool = Fa
         F.when(is_path, _steps(f(2))).cast(STEPS).alias("steps"),
         parse_tags(F.slice(F.col("f"), tags_from + 1, F.greatest(n, F.lit(1)))).alias("tags"),
     ]
-    if mode == "PERMISSIVE":
-        columns.append(F.when(short, reason).alias("malformed"))
-    return kept.select(*columns)
+    return rows.select(*columns, *extra)
 
 
 def unsupported_lines(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +36,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="braidlake-"))
     return df.checkpoint(eager=True)
-
-
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Upper bound on the rows of an Arrow batch for tables with long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def default_folder() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

@@ -14,7 +14,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from braidlake.functions.records import parse_fields
 
 # The record format.
 CIGAR = r"(?:\*|(?:[0-9]++[MIDNSHPX=])++)"
@@ -181,22 +183,28 @@ _RECORDS = {"S": (3, _segment), "L": (6, _link), "E": (9, _edge), "P": (4, _path
 
 def line_error(line: str | None) -> str | None:
     """Why a line breaks the format; None if it doesn't, is null, or is of a kind that is not checked."""
+    return read_line(line)[0]
+
+
+def read_line(line: str | None) -> tuple[str | None, list[str] | None]:
+    """Why a line breaks the format, or None and its fields: quotes removed, empty ones at the end dropped. No fields if it is not checked."""
     if not line or line[0] not in _RECORDS:
-        return None
+        return None, None
     fields = fields_of(line[:-1] if line.endswith("\r") else line)
     if fields is None:
-        return "quoting"
+        return "quoting", None
     if fields[0] not in _RECORDS:
-        return "record type"
+        return "record type", None
     least, check = _RECORDS[fields[0]]
     while len(fields) > least and not fields[-1]:
         fields.pop()
     if len(fields) < least:
-        return "too few fields"
+        return "too few fields", None
     if not fields[1]:
-        return "empty id"
+        return "empty id", None
     tags_at, error = check(fields)
-    return error or next((e for e in map(tag_error, fields[tags_at:]) if e), None)
+    error = error or next((e for e in map(tag_error, fields[tags_at:]) if e), None)
+    return (error, None) if error else (None, fields)
 
 
 # --- bulk parsing with bisection --------------------------------------------------------------------------------
@@ -271,6 +279,28 @@ def load_checked(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, Data
     return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
 
 
+def load_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, failing lines with `reason`) of lines (value, ord, ...).
+
+    Valid lines come as typed records, positions with `$` and quoted fields read as the format means them. Lines of kinds that
+    are not checked, and null lines, are in neither result; containments among them are read by parse_lines.
+    """
+    kept = lines.where(F.left("value", F.lit(1)).isin(*_RECORDS))
+    schema = StructType([*kept.schema.fields, StructField("reason", StringType()), StructField("_fields", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            found = reasons(values, "line")
+            # Only lines that need more than splitting at TABs carry their fields.
+            fields = [None if why or not ('"' in v or v.endswith(("\t", "\r"))) else read_line(v)[1] for v, why in zip(values, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(fields, pa.list_(pa.string()))], schema.names)
+
+    checked = kept.mapInArrow(run, schema)
+    valid = checked.where("reason is null").select("ord", F.coalesce("_fields", F.split("value", "\t", -1)).alias("f"))
+    return parse_fields(valid, F.get("f", F.lit(0)), F.size("f"), True), checked.where("reason is not null").drop("_fields")
+
+
 def failing(df: DataFrame, table: str, column: str, kind: str) -> DataFrame:
     """(table_name, rec_id, reason) of the failing records, once per record however often it was delivered.
 

@@ -164,6 +164,18 @@ def test_load_checked(spark):
         R.load_checked(df.withColumn("reason", F.lit(1)), "overlap", "cigar")
 
 
+def test_load_lines(spark):
+    lines = ['S\t"s\t1"\tACGT\t"CO:Z:a ""b"""', "S\ts2\t4\t\t", "S\ts3\t4\r", "E\t*\ta+\t0\t5\tb-\t1$\t2$\t5M", "L\ta\t+\tb\t-\tx", None, "#", "C\ta", "P\tp\ta+\t*\tRC:i:1"]
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, ord int")
+    records, broken = R.load_lines(df)
+    a, b, c, d, e = records.orderBy("ord").collect()
+    assert (a.id, a.sequence, a.tags["CO"].s) == ("s\t1", "ACGT", 'a "b"')
+    assert (b.length, b.sequence, c.length) == (4, None, 4)
+    assert (d.src, d.dst, d.orientation_to, d.to_start, d.to_end) == ("a", "b", "-", 1, 2)
+    assert e.name == "p" and e.tags["RC"].i == 1
+    assert [(r.ord, r.reason) for r in broken.collect()] == [(4, "cigar not of number-operation pairs")]
+
+
 # --- orphans ------------------------------------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ BLOCK = 16
 #: Words in a passage at most; longer stretches are cut with enough overlap to hold every run whole.
 PASSAGE = 96
 #: Words of items in one index, which bounds what is broadcast; more items take several indexes, one pass over the documents each.
-INDEX_WORDS = 2_000_000
+INDEX_WORDS = 200_000
 K1, B = 1.2, 0.75
 
 

@@ -62,7 +62,7 @@ def document_counts(documents: DataFrame, text: str = "text") -> tuple[np.ndarra
                         b = at.get(word)
                         if b is None:
                             b = _bucket(word)
-                            if len(at) < 1_000_000:  # a memo only
+                            if len(at) < 200_000:  # a memo only
                                 at[word] = b
                         buckets.append(b)
                     counts[list(set(buckets))] += 1
@@ -89,7 +89,7 @@ class Lexicon(dict):
     def __missing__(self, word: str) -> tuple[int, int, float, bool, bool, bool, bool]:
         score = float(self.scores[_bucket(word)])
         found = (len(word), len(_vowels.findall(word)), score, len(word) >= 10, score >= self.rare, word in CONNECTIVES, word in SUBORDINATORS)
-        if len(self) < 1_000_000:  # a memo only
+        if len(self) < 200_000:  # a memo only
             self[word] = found
         return found
 

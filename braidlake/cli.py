@@ -141,6 +141,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         top.error("convert requires --graph or --matrix")
     spark = spark or local_session(os.environ.get("BRAIDLAKE_CPUS", "*"), os.environ.get("BRAIDLAKE_MEMORY", "4g"))
     records = read_records(spark, args.gfa).cache()
+    if getattr(args, "verbose", False):
+        print(f"[read] {records.count()} records", file=sys.stderr)
     if args.cmd == "convert":
         _convert(args, records)
     elif args.cmd == "export":
@@ -155,4 +157,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     else:
         found: np.ndarray = distance.pivoted(distance.genome_distance_matrix(records, args.method))
         matrices.save_array(found, args.output)
+    if getattr(args, "verbose", False):
+        print(f"[{args.cmd}] done", file=sys.stderr)
     sys.stdout.flush()

@@ -13,7 +13,7 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from braidlake.operators.graph import Graph, edge_rows
+from braidlake.operators.graph import Graph, edge_rows, raw_ids
 from braidlake.schema import GraphOptions
 
 
@@ -123,6 +123,6 @@ def write_json(graph: Graph, path: str = "-") -> None:
 
 
 def save_graph(graph: Graph, folder: str) -> None:
-    """nodes and edges as tables in `folder`, written by the executors."""
-    graph.nodes.write.mode("overwrite").parquet(str(Path(folder) / "nodes"))
-    graph.edges.write.mode("overwrite").parquet(str(Path(folder) / "edges"))
+    """nodes and edges as tables in `folder`, written by the executors; ids as bytes if the graph's options ask for it."""
+    for name, df, ids in (("nodes", graph.nodes, ["node"]), ("edges", graph.edges, ["src", "dst"])):
+        (raw_ids(df, ids) if graph.options.raw_bytes_id else df).write.mode("overwrite").parquet(str(Path(folder) / name))

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from braidlake import api
 from braidlake.cli import main
 from braidlake.functions.records import parse_lines
 from braidlake.operators import matrix as M
@@ -107,6 +108,19 @@ def test_graph_files(spark, capsys, gfa, tmp_path):
     assert data["multigraph"] and not data["directed"] and len(data["nodes"]) == 4 and len(data["links"]) == 2
 
 
+def test_one_call_per_task(spark, gfa, capsys, tmp_path):
+    assert api.load_graph(spark, gfa, bidirected=True).edges.count() == 2
+    assert api.load_multigraph(spark, gfa).edges.count() == 1
+    entries, index = api.load_matrix(spark, gfa, asymmetric=True)
+    assert entries.count() == 1 and index.count() == 2
+    assert api.load_paths(spark, gfa).count() == 2
+    assert api.compute_stats(spark, gfa) == {"nodes": 2, "edges": 1, "paths": 1, "components": 1, "max_degree": 1, "density": 0.5}
+    assert api.path_distances(spark, gfa).count() == 1
+    main(["--raw-bytes-id", "convert", gfa, "--graph", "--verbose", "-o", str(tmp_path / "raw")], spark)
+    assert "[convert] done" in capsys.readouterr().err
+    assert spark.read.parquet(str(tmp_path / "raw" / "nodes")).schema["node"].dataType.simpleString() == "binary"
+
+
 def test_stored_attributes_are_written(spark, tmp_path):
     graph = build_graph(parse_lines(from_lines(spark, F2.splitlines())), GraphOptions(store_seq=True, store_tags=True, weight_tag="RC"))
     graphs.write_graphml(graph, str(tmp_path / "g.graphml"))

@@ -83,7 +83,7 @@ def tag_error(text: str) -> str | None:
         return "tag name"
     if kind == "J":
         try:
-            json.loads(value, parse_constant=_no_constant)
+            json.loads(value, parse_constant=_no_constant, parse_int=str, parse_float=str)
         except (ValueError, RecursionError):
             return "tag value of type J"
         # the library takes any whitespace that JSON allows around a value, and nothing else
@@ -138,6 +138,12 @@ def _step_ok(text: str) -> bool:
     return _signed(text) and not _space.search(text)
 
 
+def _at_most(a: str, b: str) -> bool:
+    """a <= b for digits of any length."""
+    a, b = a.lstrip("0"), b.lstrip("0")
+    return (len(a), a) <= (len(b), b)
+
+
 def _segment(f: list[str]) -> tuple[int, str | None]:
     if _digits.fullmatch(f[2]):
         if len(f) == 3:
@@ -161,8 +167,7 @@ def _edge(f: list[str]) -> tuple[int, str | None]:
         m, n = _position.fullmatch(a), _position.fullmatch(b)
         if not (m and n):
             return 9, "position"
-        x, y = m[1].lstrip("0"), n[1].lstrip("0")
-        if (len(x), x) > (len(y), y):
+        if not _at_most(m[1], n[1]):
             return 9, "begin after end"
     return 9, cigar_error(f[8])
 
@@ -213,7 +218,7 @@ _intervals = re.compile(INTERVALS)
 
 
 def _in_order(block: str) -> bool:
-    return all(int(a) <= int(b) and int(c) <= int(d) for a, b, c, d in _intervals.findall(block))
+    return all(_at_most(a, b) and _at_most(c, d) for a, b, c, d in _intervals.findall(block))
 
 
 #: By kind: the pattern of one record, what else holds for a block that matches, and the strict check of one record.

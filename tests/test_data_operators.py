@@ -152,6 +152,12 @@ def test_bulk_agrees_on_mutated_lines():
     assert R.reasons(tags, "cigar") == [R.cigar_error(x) for x in tags]
 
 
+def test_numbers_of_any_length():
+    n = "9" * 6000
+    lines = [f"E\t*\ta+\t{n}\t1{n}\tb-\t0\t{n}\t*", f"E\t*\ta+\t1{n}\t{n}\tb-\t0\t1\t*", f"S\ta\t{n}\tA\tJT:J:[{n}]\tLN:i:{n}"]
+    assert [x is None for x in R.reasons(lines, "line")] == [True, False, True] == [R.line_error(x) is None for x in lines]
+
+
 def test_load_checked(spark):
     rows = [(1, "5M", "x"), (2, "5", "y"), (2, "5", "y"), (3, None, "z"), (4, "", None)]
     df = spark.createDataFrame(rows, "rec_id bigint, overlap string, value string")

@@ -31,7 +31,7 @@ TAG_VALUES = {
     "B": rf"[cCsSiIf](?:,{FLOAT})++",
 }
 # In bulk, JSON is taken only in a plain form that is surely valid; anything else is left to the strict parser.
-PLAIN_JSON = r"(?:-?(?:0|[1-9][0-9]*+)|\"[ !#-\[\]-~]*+\"|\[(?:\"[ !#-\[\]-~]*+\"(?:,(?=\"))?+)*+\]|\{\"[ !#-\[\]-~]*+\":(?:(?:0|[1-9][0-9]*+)|\"(?:[ !#-\[\]-~]|\\[\"\\/bfnrt])*+\")\})"
+PLAIN_JSON = r"(?:null|true|false|-?(?:0|[1-9][0-9]*+)|\"[ !#-\[\]-~]*+\"|\[(?:\"[ !#-\[\]-~]*+\"(?:,(?=\"))?+)*+\]|\{\"[ !#-\[\]-~]*+\":(?:(?:0|[1-9][0-9]*+)|\"(?:[ !#-\[\]-~]|\\[\"\\/bfnrt])*+\")\})"
 TAG = rf"{TAG_NAME}:(?:" + "|".join(f"{k}:{v}" for k, v in TAG_VALUES.items()) + rf"|J:{PLAIN_JSON})"
 TAGS = rf"{TAG}(?:\t{TAG})*+"
 LINE_TAGS = rf"(?:\t{TAG})*+"
@@ -50,7 +50,7 @@ LINE = (
     rf"|E\t{PLAIN_ID}\t{REFERENCE}\t{INTERVAL}\t{REFERENCE}\t{INTERVAL}\t{CIGAR}"
     rf"|P\t{PLAIN_ID}\t{STEPS}\t{CIGARS}"
     rf"|O\t{PLAIN_ID}\t{STEPS}"
-    rf"){LINE_TAGS}\r?+)"
+    rf"){LINE_TAGS}\t*+\r?+)"
 )
 INTERVALS = r"(?m)^E\t[^\t]*\t[^\t]*\t([0-9]+)\$?\t([0-9]+)\$?\t[^\t]*\t([0-9]+)\$?\t([0-9]+)"
 

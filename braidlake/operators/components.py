@@ -14,18 +14,24 @@ from braidlake.session import checkpointed
 
 MOST_ROUNDS = 60
 SHARE = 0.05
+#: Pairs from which on a round looks for nodes that hold very many of them; below, one task can hold any node's.
+LEAST_SKEWED = 1_000_000
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    return skewed_join(pairs, least, ["a"], share=SHARE) if n >= LEAST_SKEWED else pairs.join(least, "a")
+
+
+def _large_star(pairs: DataFrame, n: int) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return skewed_join(both, least, ["a"], share=SHARE).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return _with_least(both, least, n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
+def _small_star(pairs: DataFrame, n: int) -> DataFrame:
     down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = skewed_join(down, least, ["a"], share=SHARE).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    moved = _with_least(down, least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -42,7 +48,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
     pairs = checkpointed(pairs)
     state = _state(pairs)
     for _ in range(MOST_ROUNDS):
-        pairs = checkpointed(_small_star(checkpointed(_large_star(pairs))))
+        pairs = checkpointed(_small_star(checkpointed(_large_star(pairs, state[0])), state[0]))
         before, state = state, _state(pairs)
         if state == before:
             break

@@ -37,7 +37,8 @@ def _arcs(graph: Graph) -> DataFrame:
     """(a, b, w): steps that a search may take, of parallel ones the shortest; a missing weight is 1."""
     edges = graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.coalesce("weight", F.lit(1.0)).alias("w"))
     if not graph.directed:
-        edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        edges = edges.select(F.explode(ways).alias("e"), "w").select("e.a", "e.b", "w")
     return edges.groupBy("a", "b").agg(F.min("w").alias("w"))
 
 

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.operators.graph import Graph
-from braidlake.operators.skew import skewed_join
+from braidlake.operators.skew import frequent_candidates, skewed_join
 from braidlake.schema import DTYPES, ITEM_BYTES
 from braidlake.session import checkpointed
 
 _LOW = (1 << 33) - 1
+#: Nodes in more than this share of the entries meet the index by broadcast.
+SHARE = 0.05
 
 
 def densely_numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
@@ -20,7 +22,8 @@ def densely_numbered(df: DataFrame, order: list[str | Column], name: str) -> Dat
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # written first, as ranges are found by reading all rows once before they are moved
+    ordered = checkpointed(df).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the numbers depend on the partitioning, so it is fixed before they are used
     fixed = checkpointed(ordered.withColumns({"_part": F.spark_partition_id(), "_low": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW))}))
     counts = dict(fixed.groupBy("_part").count().collect())
@@ -49,7 +52,13 @@ def triplets(graph: Graph, dtype: str = "float64") -> DataFrame:
     if dtype not in DTYPES:
         raise ValueError(f"unknown dtype: {dtype}")
     raw = graph.raw_edges.select("src", "dst", _value(graph, dtype).alias("value"))
-    return raw if graph.options.matrix_directed else raw.unionByName(raw.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "value"))
+    return raw if graph.options.matrix_directed else _with_mirrored(raw, "src", "dst")
+
+
+def _with_mirrored(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Every entry also the other way round, made from one reading of `df`."""
+    both = F.array(F.struct(F.col(a).alias(a), F.col(b).alias(b)), F.struct(F.col(b).alias(a), F.col(a).alias(b)))
+    return df.select(F.explode(both).alias("e"), "value").select(f"e.{a}", f"e.{b}", "value")
 
 
 def _summed(df: DataFrame, keys: list[str], dtype: str) -> DataFrame:
@@ -65,12 +74,13 @@ def coo_matrix(graph: Graph, index: DataFrame | None = None, dtype: str = "float
     error. Entries are summed before they meet the index, and a node in very many of them is joined by broadcast.
     """
     index = node_index(graph) if index is None else index
-    summed = _summed(triplets(graph, dtype), ["src", "dst"], dtype)
-    rows = skewed_join(summed, index.select(F.col("node").alias("src"), F.col("idx").alias("row")), ["src"], share=0.05)
-    both = skewed_join(rows, index.select(F.col("node").alias("dst"), F.col("idx").alias("col")), ["dst"], share=0.05).select("row", "col", "value")
+    summed = checkpointed(_summed(triplets(graph, dtype), ["src", "dst"], dtype))
+    heavy = frequent_candidates(summed, "dst", SHARE)
+    rows = skewed_join(summed, index.select(F.col("node").alias("src"), F.col("idx").alias("row")), ["src"], share=SHARE)
+    both = skewed_join(rows, index.select(F.col("node").alias("dst"), F.col("idx").alias("col")), ["dst"], heavy=heavy).select("row", "col", "value")
     if asymmetric or not graph.options.matrix_directed:
         return both
-    mirrored = both.unionByName(both.select(F.col("col").alias("row"), F.col("row").alias("col"), "value"))
+    mirrored = _with_mirrored(both, "row", "col")
     if dtype == "bool":
         return mirrored.groupBy("row", "col").agg(F.bool_or("value").alias("value")).where("value")
     best = mirrored.groupBy("row", "col").agg(F.max("value").alias("value"), F.count("*").alias("n"))

@@ -44,16 +44,17 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     return counted.withColumn("n_total", F.lit(n).cast("bigint")).where(F.col("n_rows") >= F.lit(share) * n)
 
 
-def skewed_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", share: float = 0.01, heavy_on: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def skewed_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", share: float = 0.01, heavy_on: str | None = None, broadcast_rows: int = BROADCAST_ROWS, heavy: list | None = None) -> DataFrame:
     """`big` joined with `small` on equal columns `on`; `how` is inner, left, left_semi or left_anti.
 
-    heavy_on names the one column of `on` by which heavy keys are told (default: the first). Rows of a heavy key meet a
+    heavy_on names the one column of `on` by which heavy keys are told (default: the first); where they are known already,
+    `heavy` lists them and `big` isn't read for them. Rows of a heavy key meet a
     broadcast of small's rows for the heavy keys. If those are more than `broadcast_rows`, the heavy rows of big are
     salted and small's are repeated for each salt, so that no key is handled by one task. Null keys match nothing.
     Columns of both sides other than `on` must have different names.
     """
     key = heavy_on or on[0]
-    found = frequent_candidates(big, key, share)
+    found = frequent_candidates(big, key, share) if heavy is None else heavy
     if not found:
         return big.join(small, on, how)
     is_heavy = F.coalesce(F.col(key).isin(found), F.lit(False))
@@ -61,13 +62,13 @@ def skewed_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     heavy_big, heavy_small = big.where(is_heavy), small.where(is_heavy)
     n = heavy_small.limit(broadcast_rows + 1).count()
     if n <= broadcast_rows:
-        heavy = heavy_big.join(F.broadcast(heavy_small), on, how)
+        joined = heavy_big.join(F.broadcast(heavy_small), on, how)
     else:
         salts = max(8, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         salted = heavy_big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in on] or [F.monotonically_increasing_id()]), F.lit(salts)).cast("int"))
         repeated = heavy_small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        heavy = salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-    return light.unionByName(heavy)
+        joined = salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return light.unionByName(joined)
 
 
 def count_distinct_pairs(df: DataFrame, key: str, value: str, rows: str, distinct: str) -> DataFrame:

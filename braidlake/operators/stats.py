@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from braidlake.operators.components import connected_components
 from braidlake.operators.graph import Graph, build_graph
 from braidlake.operators.paths import path_count
 from braidlake.schema import GraphOptions
+from braidlake.session import checkpointed
 
 
 def degrees(graph: Graph) -> DataFrame:
@@ -40,5 +42,7 @@ def _in_one_row(*singles: DataFrame) -> DataFrame:
 def stats(records: DataFrame, directed: bool = True, strip_orientation: bool = False) -> DataFrame:
     """(nodes, edges, paths, components, max_degree, density) of the simple graph of `records`, in one row."""
     graph = build_graph(records, GraphOptions(directed=directed, strip_orientation=strip_orientation))
+    # counted, joined and contracted below: written once, so that the text is parsed once
+    graph = replace(graph, nodes=checkpointed(graph.nodes), edges=checkpointed(graph.edges.select("src", "dst")))
     parts = connected_components(graph.nodes, graph.edges).agg(F.count_distinct("component").alias("components"))
     return _in_one_row(counts(graph), path_count(records), parts).select("nodes", "edges", "paths", "components", "max_degree", "density")

@@ -6,7 +6,7 @@ graph is. Each round is written to the shared folder, which cuts the lineage and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.operators.skew import skewed_join
@@ -14,24 +14,30 @@ from braidlake.session import checkpointed
 
 MOST_ROUNDS = 60
 SHARE = 0.05
-#: Pairs from which on a round looks for nodes that hold very many of them; below, one task can hold any node's.
+#: Pairs from which on a round looks for nodes that hold very many of them; below, one task can sort any node's.
 LEAST_SKEWED = 1_000_000
 
 
-def _with_least(pairs: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    return skewed_join(pairs, least, ["a"], share=SHARE) if n >= LEAST_SKEWED else pairs.join(least, "a")
+def _short_round(pairs: DataFrame) -> DataFrame:
+    """Both stars in one plan of two shuffles each: the least neighbour comes from a window instead of a join."""
+    least = F.min("b").over(Window.partitionBy("a"))
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+    large = both.withColumn("m", F.least("a", least)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).withColumn("m", least)
+    moved = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+    return down.select(F.explode(moved).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
-def _large_star(pairs: DataFrame, n: int) -> DataFrame:
+def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _with_least(both, least, n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return skewed_join(both, least, ["a"], share=SHARE).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(pairs: DataFrame, n: int) -> DataFrame:
+def _small_star(pairs: DataFrame) -> DataFrame:
     down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = _with_least(down, least, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    moved = skewed_join(down, least, ["a"], share=SHARE).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -48,7 +54,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
     pairs = checkpointed(pairs)
     state = _state(pairs)
     for _ in range(MOST_ROUNDS):
-        pairs = checkpointed(_small_star(checkpointed(_large_star(pairs, state[0])), state[0]))
+        pairs = checkpointed(_short_round(pairs) if state[0] < LEAST_SKEWED else _small_star(checkpointed(_large_star(pairs))))
         before, state = state, _state(pairs)
         if state == before:
             break

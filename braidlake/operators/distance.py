@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,60 +44,64 @@ def _arcs(graph: Graph) -> DataFrame:
 
 
 class Adjacency:
-    """Compressed arcs of a graph small enough to broadcast, nodes numbered in the order of their names."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, w: np.ndarray):
-        self.names, flat = np.unique(np.concatenate([a, b]).astype(object), return_inverse=True) if len(a) else (np.empty(0, dtype=object), np.empty(0, dtype=np.int64))
-        tail, head = flat[: len(a)], flat[len(a) :]
-        order = np.argsort(tail, kind="stable")
-        self.heads = head[order].astype(np.int32)
-        self.start = np.searchsorted(tail[order], np.arange(len(self.names) + 1)).astype(np.int64)
-        self.weights = None if (w == 1).all() else w[order]
-        self.number = {name: i for i, name in enumerate(self.names)}
-
-    def search(self, sources: list[str]) -> dict[str, float]:
-        """Distance of every node that is reached; a source that has no arcs reaches itself."""
-        known = [self.number[s] for s in sources if s in self.number]
-        found = {s: 0.0 for s in sources if s not in self.number}
+    """Compressed arcs (a, b, w) of a graph small enough to broadcast."""
+
+    def __init__(self, arcs: pa.Table):
+        n = arcs.num_rows
+        ends = pa.chunked_array([*arcs.column("a").chunks, *arcs.column("b").chunks], pa.string()).combine_chunks().dictionary_encode()
+        numbers, self.names = ends.indices.to_numpy(), ends.dictionary
+        order = np.argsort(numbers[:n], kind="stable")
+        self.heads = numbers[n:][order].astype(np.int32)
+        self.start = np.searchsorted(numbers[:n][order], np.arange(len(self.names) + 1))
+        weights = arcs.column("w").to_numpy()
+        self.weights = None if (weights == 1).all() else weights[order]
+
+    def search(self, sources: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The nodes that are reached and their distances; a source that has no arcs reaches itself."""
+        wanted = pa.array(sources, pa.string())
+        known = pc.index_in(wanted, value_set=self.names)
+        lone = pc.unique(wanted.filter(known.is_null()))
+        first = np.unique(known.drop_null().to_numpy())
         distance = np.full(len(self.names), np.inf)
-        if self.weights is None:
-            front = np.unique(np.array(known, dtype=np.int64))
-            distance[front] = 0
-            hops = 0
-            while len(front):
-                hops += 1
-                if len(front) == 1:
-                    reached = self.heads[self.start[front[0]] : self.start[front[0] + 1]]
-                else:
-                    reached = np.concatenate([self.heads[self.start[x] : self.start[x + 1]] for x in front])
-                front = np.unique(reached[np.isinf(distance[reached])])
-                distance[front] = hops
-        else:
-            heap = [(0.0, x) for x in set(known)]
-            distance[known] = 0
-            while heap:
-                d, x = heapq.heappop(heap)
-                if d > distance[x]:
-                    continue
-                for k in range(self.start[x], self.start[x + 1]):
-                    y, further = self.heads[k], d + self.weights[k]
-                    if further < distance[y]:
-                        distance[y] = further
-                        heapq.heappush(heap, (further, int(y)))
-        for i in np.flatnonzero(np.isfinite(distance)):
-            found[self.names[i]] = float(distance[i])
-        return found
+        distance[first] = 0
+        (self._by_hops if self.weights is None else self._by_weight)(first, distance)
+        reached = np.flatnonzero(np.isfinite(distance))
+        return pa.concat_arrays([self.names.take(pa.array(reached)), lone]), np.concatenate([distance[reached], np.zeros(len(lone))])
+
+    def _by_hops(self, front: np.ndarray, distance: np.ndarray) -> None:
+        hops = 0
+        while len(front):
+            hops += 1
+            sizes = self.start[front + 1] - self.start[front]
+            # positions of all arcs that leave the frontier
+            at = np.arange(sizes.sum()) + np.repeat(self.start[front] - (np.cumsum(sizes) - sizes), sizes)
+            heads = self.heads[at]
+            front = np.unique(heads[np.isinf(distance[heads])])
+            distance[front] = hops
+
+    def _by_weight(self, first: np.ndarray, distance: np.ndarray) -> None:
+        heap = [(0.0, int(x)) for x in first]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if d > distance[x]:
+                continue
+            for k in range(self.start[x], self.start[x + 1]):
+                y, further = self.heads[k], d + self.weights[k]
+                if further < distance[y]:
+                    distance[y] = further
+                    heapq.heappush(heap, (further, int(y)))
 
 
 def _broadcast_search(spark: SparkSession, arcs: pa.Table, sources: DataFrame, wanted: DataFrame | None) -> DataFrame:
-    adjacency = spark.sparkContext.broadcast(Adjacency(*[arcs.column(c).to_numpy() for c in ("a", "b", "w")]))
+    adjacency = spark.sparkContext.broadcast(Adjacency(arcs))
     sets = sources.groupBy("source").agg(F.collect_set("node").alias("nodes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind = batch.schema.field("source").type
             for source, nodes in zip(batch.column("source"), batch.column("nodes").to_pylist(), strict=True):
-                found = adjacency.value.search(nodes)
-                yield pa.RecordBatch.from_arrays([pa.array([source.as_py()] * len(found), batch.schema.field("source").type), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["source", "node", "dist"])
+                found, distances = adjacency.value.search(nodes)
+                yield pa.RecordBatch.from_arrays([pa.repeat(source, len(found)).cast(kind), found, pa.array(distances)], ["source", "node", "dist"])
 
     kind = sources.schema["source"].dataType.simpleString()
     spread = sets.repartition(spark.sparkContext.defaultParallelism, "source")

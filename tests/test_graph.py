@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidlake.functions.records import parse_lines
+from braidlake.operators import components
 from braidlake.operators import distance as D
 from braidlake.operators import matrix as M
 from braidlake.operators.components import connected_components
@@ -137,7 +138,9 @@ def test_stats(spark):
     assert tuple(row) == (0, 0, 0, 0, 0, 0.0)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least", [1_000_000, 0])
+def test_components(spark, monkeypatch, least):
+    monkeypatch.setattr(components, "LEAST_SKEWED", least)
     n = 300
     chain = [(f"{i:04}", f"{i + 1:04}") for i in range(n) if i % 100 != 99]
     edges = spark.createDataFrame([*chain, (None, "0001"), ("0005", "0005")], "src string, dst string")

@@ -96,14 +96,15 @@ def packed(items: DataFrame, capacity: int = CAPACITY, max_segments: int = 256,
     ranged = alike.withColumn("first", before + 1).withColumn("last", F.col("first") + F.col("n") - 1)
     # in two steps, as one row repeated very often would make one very long array
     chunks = ranged.withColumn("chunk", F.explode(F.sequence(F.col("first"), F.col("last"), F.lit(CHUNK).cast("bigint"))))
-    copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk"), F.least("last", F.col("chunk") + CHUNK - 1)))).select("item_id", "tokens", "loss", "copy")
+    # written once: what follows reads it several times, and making it may have read whole texts
+    copies = checkpointed(chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk"), F.least("last", F.col("chunk") + CHUNK - 1)))).select("item_id", "tokens", "loss", "copy"))
     # Loss is taken to be spread evenly, so a piece's limit in tokens follows from the item's share of it.
     by_loss = F.greatest(F.floor(F.col("tokens") * F.lit(loss_capacity) / F.col("loss")), F.lit(1))
     size = F.when(F.col("loss") > loss_capacity, F.least(F.lit(capacity), by_loss)).otherwise(F.lit(capacity)).cast("bigint")
     pieces = copies.where("tokens > 0").withColumn("size", size).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("tokens") - 1) / F.col("size")))))
     own = F.least(F.col("size"), F.col("tokens") - F.col("piece") * F.col("size"))
     own_loss = F.least(F.lit(loss_capacity), F.ceil(own * F.col("loss") / F.col("tokens")))
-    pieces = checkpointed(pieces.select("item_id", "copy", "piece", own.alias("tokens"), own_loss.cast("bigint").alias("loss")))
+    pieces = pieces.select("item_id", "copy", "piece", own.alias("tokens"), own_loss.cast("bigint").alias("loss"))
     alone = F.col("tokens") >= capacity
     shards = max(1, -(-pieces.where(~alone).count() // SHARD))
     limits = np.array([capacity, loss_capacity, max_segments])

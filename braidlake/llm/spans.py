@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.operators.skew import skewed_join
+from braidlake.session import checkpointed
+
+#: Share of all stretches from which on one is heavy, and the least number of rows that makes this worth while.
+SHARE = 0.002
+LEAST_HEAVY = 1000
 
 
 def _stretches(records: DataFrame, least: int) -> DataFrame:
@@ -29,9 +34,13 @@ def located(records: DataFrame, least: int = 12) -> DataFrame:
     """
     stretches = _stretches(records, least)
     place = F.struct(F.col("record"), F.col("pos"))
-    index = stretches.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.record <> last.record")
-    # A stretch of a group of copies may be in a third of all records: such rows meet their entry by broadcast.
-    met = skewed_join(stretches, index, ["h1", "h2"], "inner", share=0.002)
+    index = stretches.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first.record <> last.record")
+    index = checkpointed(index)
+    # A stretch of a group of copies may be in a third of all records: such rows meet their entry by broadcast. The index
+    # knows how often each occurs, and at most 1 / SHARE of them can hold such a share.
+    total = records.agg(F.sum(F.greatest(F.size("steps") - (least - 1), F.lit(0)))).collect()[0][0] or 0
+    heavy = [row[0] for row in index.where(F.col("n") >= F.lit(SHARE * total)).select("h1").limit(int(1 / SHARE)).collect()] if total * SHARE >= LEAST_HEAVY else []
+    met = skewed_join(stretches, index.drop("n"), ["h1", "h2"], "inner", heavy=heavy)
     other = F.when(F.col("first.record") != F.col("record"), F.col("first")).otherwise(F.col("last"))
     places = met.select("record", "pos", other.alias("o")).select("record", "pos", F.col("o.record").alias("source"), F.col("o.pos").alias("source_pos"))
     return places.repartition("record").dropDuplicates(["record", "pos"])

@@ -140,7 +140,9 @@ def test_spans(spark, least):
     assert amounts == {r: (len(s or ()), sum(b - a + 1 for x, a, b in got if x == r)) for r, s in records}
 
 
-def test_spans_of_many_copies(spark):
+@pytest.mark.parametrize("least_heavy", [1000, 0])
+def test_spans_of_many_copies(spark, monkeypatch, least_heavy):
+    monkeypatch.setattr(S, "LEAST_HEAVY", least_heavy)
     steps = [f"s{i}" for i in range(30)]
     df = spark.createDataFrame([(i, steps) for i in range(200)], "record bigint, steps array<string>").repartition(4)
     assert {tuple(r)[1:] for r in S.shared_spans(df).collect()} == {(0, 29)} and S.shared_spans(df).count() == 200

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.operators.skew import BROADCAST_ROWS, frequent_candidates
+from braidlake.session import unused
 
 #: After any time that occurs.
 FOREVER = "9999-12-31 00:00:00"
@@ -41,20 +42,22 @@ def _heavy_orphans(refs: DataFrame, periods: DataFrame, heavy: list) -> DataFram
     if len(rows) > BROADCAST_ROWS:
         return None
     side = refs.sparkSession.createDataFrame(rows, merged.schema)
-    side = side.select(F.col("seg_id").alias("_k"), "start", "stop")
-    hit = (F.col("seg_id") == F.col("_k")) & (F.col("start") <= F.col("t")) & (F.col("t") < F.col("stop"))
+    key, start, stop = (unused(x, refs.columns) for x in ("key", "start", "stop"))
+    side = side.select(F.col("seg_id").alias(key), F.col("start").alias(start), F.col("stop").alias(stop))
+    hit = (F.col("seg_id") == F.col(key)) & (F.col(start) <= F.col("t")) & (F.col("t") < F.col(stop))
     return refs.where(F.col("seg_id").isin(heavy)).join(F.broadcast(side), hit, "left_anti")
 
 
 def _merge_orphans(refs: DataFrame, periods: DataFrame) -> DataFrame:
     """Orphans by one sort per key: a reference is served iff the latest stop among earlier starts lies after it."""
     names = [f.name for f in refs.schema if f.name not in ("seg_id", "t")]
-    events = refs.withColumns({"_kind": F.lit(1), "_stop": F.lit(None).cast("timestamp_ntz")}).unionByName(
-        periods.select("seg_id", F.col("start").alias("t"), F.lit(0).alias("_kind"), F.col("stop").alias("_stop"), *[F.lit(None).cast(refs.schema[n].dataType).alias(n) for n in names])
+    kind, stop, until = (unused(x, refs.columns) for x in ("kind", "stop", "until"))
+    events = refs.withColumns({kind: F.lit(1), stop: F.lit(None).cast("timestamp_ntz")}).unionByName(
+        periods.select("seg_id", F.col("start").alias("t"), F.lit(0).alias(kind), F.col("stop").alias(stop), *[F.lit(None).cast(refs.schema[n].dataType).alias(n) for n in names])
     )
-    order = Window.partitionBy("seg_id").orderBy("t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    reach = events.withColumn("_until", F.max("_stop").over(order))
-    return reach.where((F.col("_kind") == 1) & ((F.col("_until") <= F.col("t")) | F.col("_until").isNull())).drop("_kind", "_stop", "_until")
+    order = Window.partitionBy("seg_id").orderBy("t", kind).rowsBetween(Window.unboundedPreceding, 0)
+    reach = events.withColumn(until, F.max(stop).over(order))
+    return reach.where((F.col(kind) == 1) & ((F.col(until) <= F.col("t")) | F.col(until).isNull())).drop(kind, stop, until)
 
 
 def orphan_references(refs: DataFrame, periods: DataFrame, share: float = 0.005) -> DataFrame:
@@ -79,9 +82,10 @@ def first_delivery_only(found: DataFrame, deliveries: DataFrame) -> DataFrame:
 
     Only records delivered more than once can differ, so only those are joined; t null counts as latest.
     """
-    again = deliveries.groupBy("rec_id").agg(F.min("t").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    joined = found.join(again.select("rec_id", "_first"), "rec_id", "left")
-    return joined.where(F.col("_first").isNull() | F.col("t").eqNullSafe(F.col("_first"))).drop("_first")
+    first = unused("first", found.columns)
+    again = deliveries.groupBy("rec_id").agg(F.min("t").alias(first), F.count("*").alias("n_deliveries")).where("n_deliveries > 1")
+    joined = found.join(again.select("rec_id", first), "rec_id", "left")
+    return joined.where(F.col(first).isNull() | F.col("t").eqNullSafe(F.col(first))).drop(first)
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidlake.session import unused
+
 #: Rows of the other side that may be broadcast for the heavy keys; beyond it the heavy keys are salted instead.
 BROADCAST_ROWS = 100_000
 #: A sketch with m counters undercounts a key by at most 3.5 / m of all rows; 32 / share keeps that under a ninth of the share.
@@ -64,10 +66,11 @@ def skewed_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     if n <= broadcast_rows:
         joined = heavy_big.join(F.broadcast(heavy_small), on, how)
     else:
+        salt = unused("salt", [*big.columns, *small.columns])
         salts = max(8, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        salted = heavy_big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in on] or [F.monotonically_increasing_id()]), F.lit(salts)).cast("int"))
-        repeated = heavy_small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+        salted = heavy_big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in on] or [F.monotonically_increasing_id()]), F.lit(salts)).cast("int"))
+        repeated = heavy_small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = salted.join(repeated, [*on, salt], how).drop(salt)
     return light.unionByName(joined)
 
 

@@ -26,6 +26,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, with underscores put before it until no column has it (in any case), for columns that operators add."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder and read from there, so a lost executor loses none of it.
 

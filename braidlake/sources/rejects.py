@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from braidlake.functions.records import parse_fields
+from braidlake.session import unused
 
 # The record format.
 CIGAR = r"(?:\*|(?:[0-9]++[MIDNSHPX=])++)"
@@ -261,27 +262,27 @@ def reasons(values: list[str | None], kind: str) -> list[str | None]:
     return out
 
 
-def with_reasons(df: DataFrame, column: str, kind: str, reason: str = "_reason") -> DataFrame:
-    """`df` with a column `reason`: why `column` breaks the format (`kind`: cigar, tags or line), null where it is valid.
+def with_reasons(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """`df` with a last column `reason`: why `column` breaks the format (`kind`: cigar, tags or line), null where it is valid.
 
-    All other columns pass through unread; a null value is valid; an empty table gives an empty one.
+    All other columns pass through unread; a null value is valid; an empty table gives an empty one. If `df` has a column of
+    that name, the new one is called `_reason`, and so on.
     """
-    if reason in df.columns:
-        raise ValueError(f"column {reason} is already there")
-    schema = StructType([*df.schema.fields, StructField(reason, StringType())])
+    schema = StructType([*df.schema.fields, StructField(unused("reason", df.columns), StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = reasons(batch.column(column).to_pylist(), kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, reason])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def load_checked(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(valid rows as they are, failing rows with `reason`)."""
-    checked = with_reasons(df, column, kind, "reason")
-    return checked.where("reason is null").drop("reason"), checked.where("reason is not null")
+    """(valid rows as they are, failing rows with their reason in the last column; see with_reasons)."""
+    checked = with_reasons(df, column, kind)
+    reason = F.col(checked.columns[-1])
+    return checked.where(reason.isNull()).drop(checked.columns[-1]), checked.where(reason.isNotNull())
 
 
 def load_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -291,7 +292,8 @@ def load_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     are not checked, and null lines, are in neither result; containments among them are read by parse_lines.
     """
     kept = lines.where(F.left("value", F.lit(1)).isin(*_RECORDS))
-    schema = StructType([*kept.schema.fields, StructField("reason", StringType()), StructField("_fields", ArrayType(StringType()))])
+    reason, split = unused("reason", lines.columns), unused("fields", lines.columns)
+    schema = StructType([*kept.schema.fields, StructField(reason, StringType()), StructField(split, ArrayType(StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +304,8 @@ def load_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(fields, pa.list_(pa.string()))], schema.names)
 
     checked = kept.mapInArrow(run, schema)
-    valid = checked.where("reason is null").select("ord", F.coalesce("_fields", F.split("value", "\t", -1)).alias("f"))
-    return parse_fields(valid, F.get("f", F.lit(0)), F.size("f"), True), checked.where("reason is not null").drop("_fields")
+    valid = checked.where(F.col(reason).isNull()).select("ord", F.coalesce(split, F.split("value", "\t", -1)).alias("f"))
+    return parse_fields(valid, F.get("f", F.lit(0)), F.size("f"), True), checked.where(F.col(reason).isNotNull()).drop(split)
 
 
 def failing(df: DataFrame, table: str, column: str, kind: str) -> DataFrame:
@@ -311,6 +313,6 @@ def failing(df: DataFrame, table: str, column: str, kind: str) -> DataFrame:
 
     Only the checked column travels to Python. Rows that share a rec_id share the value, so they share the reason.
     """
-    checked = with_reasons(df.select("rec_id", column).where(F.col(column).isNotNull()), column, kind)
-    bad = checked.where("_reason is not null").groupBy("rec_id").agg(F.min("_reason").alias("reason"))
+    checked = with_reasons(df.select("rec_id", F.col(column).alias("checked")).where(F.col(column).isNotNull()), "checked", kind)
+    bad = checked.where("reason is not null").groupBy("rec_id").agg(F.min("reason").alias("reason"))
     return bad.select(F.lit(table).alias("table_name"), "rec_id", "reason")

@@ -166,8 +166,8 @@ def test_load_checked(spark):
     assert sorted((r.rec_id, r.reason is not None) for r in broken.collect()) == [(2, True), (2, True), (4, True)]
     assert sorted(r.rec_id for r in R.failing(df, "t", "overlap", "cigar").collect()) == [2, 4]
     assert R.failing(df.where("false"), "t", "overlap", "cigar").count() == 0
-    with pytest.raises(ValueError):
-        R.load_checked(df.withColumn("reason", F.lit(1)), "overlap", "cigar")
+    valid, broken = R.load_checked(df.withColumn("reason", F.lit(1)), "overlap", "cigar")
+    assert valid.columns == [*df.columns, "reason"] and broken.columns == [*df.columns, "reason", "_reason"] and broken.count() == 3
 
 
 def test_load_lines(spark):
@@ -215,6 +215,22 @@ def test_orphans(spark, share):
         assert counted[name] == (len(own), len({w[1] for w in own}), len({w[2] for w in own}))
 
 
+@pytest.mark.parametrize("share", [0.005, 0.9])
+def test_orphans_with_clashing_columns(spark, share):
+    own = ["kind", "stop", "until", "key", "start", "first", "_kind"]
+    refs = spark.createDataFrame([("a", day(1), 1), ("b", day(9), 2)], "seg_id string, t timestamp_ntz, rec_id bigint").withColumns({c: F.lit("x") for c in own})
+    periods = presence(spark.createDataFrame([("a", day(0), None)], "seg_id string, loaded_at timestamp_ntz, deleted_at timestamp_ntz"))
+    found = first_delivery_only(orphan_references(refs, periods, share), refs.select("rec_id", "t"))
+    assert [r.seg_id for r in found.collect()] == ["b"] and set(found.columns) == set(refs.columns)
+
+
+def test_skewed_join_with_clashing_columns(spark):
+    big = spark.createDataFrame([("hot", i) for i in range(50)], "k string, salt int")
+    small = spark.createDataFrame([("hot", 7)], "k string, n int")
+    got = skewed_join(big, small, ["k"], broadcast_rows=0)
+    assert sorted(r.salt for r in got.collect()) == list(range(50)) and got.columns == ["k", "salt", "n"]
+
+
 def test_orphans_on_empty_tables(spark):
     none = spark.createDataFrame([], "seg_id string, loaded_at timestamp_ntz, deleted_at timestamp_ntz")
     refs = spark.createDataFrame([("a", day(1)), ("b", None)], "seg_id string, t timestamp_ntz")

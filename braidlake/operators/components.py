@@ -13,7 +13,6 @@ from braidlake.operators.skew import skewed_join
 from braidlake.session import checkpointed
 
 MOST_ROUNDS = 60
-SHARE = 0.05
 #: Pairs from which on a round looks for nodes that hold very many of them; below, one task can sort any node's.
 LEAST_SKEWED = 1_000_000
 
@@ -31,18 +30,19 @@ def _short_round(pairs: DataFrame) -> DataFrame:
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return skewed_join(both, least, ["a"], share=SHARE).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return skewed_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = skewed_join(down, least, ["a"], share=SHARE).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    moved = skewed_join(down, least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+    """The number of pairs and a sum of their hashes, which wraps: equal for equal sets of pairs."""
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).collect()[0])
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:

@@ -1,13 +1,14 @@
 """Shortest-path distances.
 
-Graphs up to a checked number of edges are sent to all tasks as arrays, and each task searches from its own set of sources
-(breadth first, or by a heap if there are weights). Larger graphs are searched by rounds of joins on the frontier; each
-round is written to the shared folder. Negative weights are refused.
+Graphs up to a checked number of arcs are sent to all tasks as arrays, and each task searches from its own set of sources.
+Larger graphs are first contracted: nodes with few arcs are taken out, their in-arcs joined to their out-arcs, so chains,
+trees and rows of bubbles vanish in about log(nodes) rounds however deep they are. What is left is searched - by the
+arrays if it is small by then, else by rounds of joins on the frontier - and the nodes taken out get their distances back,
+round by round, from the nodes they hung on. Negative weights are refused.
 """
 
 from __future__ import annotations
 
-import heapq
 import os
 import warnings
 from collections.abc import Iterator
@@ -19,14 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.operators.graph import Graph, build_graph, warn_directed_bidirected
+from braidlake.operators.numbering import densely_numbered
 from braidlake.operators.paths import load_paths
-from braidlake.operators.skew import skewed_join
+from braidlake.operators.skew import frequent_candidates, skewed_join
 from braidlake.schema import GraphOptions
 from braidlake.session import checkpointed
 
 #: Edges up to which the graph is broadcast: about 60 MB with the names of its nodes.
 BROADCAST_EDGES = 500_000
-MOST_ROUNDS = 10_000
+#: Arcs, in and out, of a node that may be taken out in contraction.
+MOST_ARCS = 8
+#: Contraction goes on while a round takes out at least this share of the arcs.
+LEAST_TAKEN = 0.25
 QUADRATIC = 1000
 
 
@@ -53,20 +58,19 @@ class Adjacency:
         order = np.argsort(numbers[:n], kind="stable")
         self.heads = numbers[n:][order].astype(np.int32)
         self.start = np.searchsorted(numbers[:n][order], np.arange(len(self.names) + 1))
-        weights = arcs.column("w").to_numpy()
-        self.weights = None if (weights == 1).all() else weights[order]
-
-    def search(self, sources: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """The nodes that are reached and their distances; a source that has no arcs reaches itself."""
-        wanted = pa.array(sources, pa.string())
-        known = pc.index_in(wanted, value_set=self.names)
-        lone = pc.unique(wanted.filter(known.is_null()))
-        first = np.unique(known.drop_null().to_numpy())
+        weights = arcs.column("w").to_numpy()[order]
+        self.weights, self.uniform = weights, bool((weights == 1).all())
+
+    def search(self, sources: pa.Array, dists: np.ndarray, wanted: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+        """The nodes that are reached and their distances, of those `wanted` (a mask of names) only; sources have distances to start from, and one without arcs reaches itself."""
+        known = pc.index_in(sources, value_set=self.names)
+        lone = known.is_null()
+        first, start = known.drop_null().to_numpy().astype(np.int64), dists[~lone.to_numpy(zero_copy_only=False)]
         distance = np.full(len(self.names), np.inf)
-        distance[first] = 0
-        (self._by_hops if self.weights is None else self._by_weight)(first, distance)
-        reached = np.flatnonzero(np.isfinite(distance))
-        return pa.concat_arrays([self.names.take(pa.array(reached)), lone]), np.concatenate([distance[reached], np.zeros(len(lone))])
+        np.minimum.at(distance, first, start)
+        (self._by_hops if self.uniform and not start.any() else self._by_weight)(np.unique(first), distance)
+        reached = np.flatnonzero(np.isfinite(distance) if wanted is None else np.isfinite(distance) & wanted)
+        return pa.concat_arrays([self.names.take(pa.array(reached)), sources.filter(lone)]), np.concatenate([distance[reached], dists[lone.to_numpy(zero_copy_only=False)]])
 
     def _by_hops(self, front: np.ndarray, distance: np.ndarray) -> None:
         hops = 0
@@ -80,50 +84,127 @@ class Adjacency:
             distance[front] = hops
 
     def _by_weight(self, first: np.ndarray, distance: np.ndarray) -> None:
-        heap = [(0.0, int(x)) for x in first]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > distance[x]:
-                continue
-            for k in range(self.start[x], self.start[x + 1]):
-                y, further = self.heads[k], d + self.weights[k]
-                if further < distance[y]:
-                    distance[y] = further
-                    heapq.heappush(heap, (further, int(y)))
+        """Relaxes all arcs of the nodes within a mean arc of the nearest waiting one at a time (delta stepping)."""
+        front, delta = first, float(self.weights.mean())
+        while len(front):
+            due = distance[front] <= distance[front].min() + delta
+            now, later = front[due], front[~due]
+            sizes = self.start[now + 1] - self.start[now]
+            at = np.arange(sizes.sum()) + np.repeat(self.start[now] - (np.cumsum(sizes) - sizes), sizes)
+            heads, offers = self.heads[at], np.repeat(distance[now], sizes) + self.weights[at]
+            better = offers < distance[heads]
+            np.minimum.at(distance, heads[better], offers[better])
+            front = np.unique(np.concatenate([later, heads[better]]))
 
 
 def _broadcast_search(spark: SparkSession, arcs: pa.Table, sources: DataFrame, wanted: DataFrame | None) -> DataFrame:
-    adjacency = spark.sparkContext.broadcast(Adjacency(arcs))
-    sets = sources.groupBy("source").agg(F.collect_set("node").alias("nodes"))
+    """(source, node, dist) from `sources` (source, node, dist), searched in memory, one task per source set at a time."""
+    adjacency = Adjacency(arcs)
+    mask = None
+    if wanted is not None:
+        # only names that the arrays have, which bounds what comes to the driver
+        names = spark.createDataFrame(pa.table({"node": adjacency.names}))
+        mine = wanted.join(F.broadcast(names), "node", "left_semi").distinct().toArrow().column("node").combine_chunks()
+        mask = pc.is_in(adjacency.names, value_set=mine).to_numpy(zero_copy_only=False)
+    shared = spark.sparkContext.broadcast((adjacency, mask))
+    kind = sources.schema["source"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind = batch.schema.field("source").type
-            for source, nodes in zip(batch.column("source"), batch.column("nodes").to_pylist(), strict=True):
-                found, distances = adjacency.value.search(nodes)
-                yield pa.RecordBatch.from_arrays([pa.repeat(source, len(found)).cast(kind), found, pa.array(distances)], ["source", "node", "dist"])
+    def run(keys: tuple, group: pa.Table) -> pa.Table:
+        adjacency, mask = shared.value
+        found, distances = adjacency.search(group.column("node").combine_chunks().cast(pa.string()), group.column("dist").to_numpy(), mask)
+        return pa.table({"source": pa.repeat(keys[0], len(found)).cast(group.schema.field("source").type), "node": found, "dist": distances})
 
-    kind = sources.schema["source"].dataType.simpleString()
-    spread = sets.repartition(spark.sparkContext.defaultParallelism, "source")
-    found = spread.mapInArrow(run, f"source {kind}, node string, dist double")
+    found = sources.groupBy("source").applyInArrow(run, f"source {kind}, node string, dist double")
+    # sources without arcs aren't under the mask
     return found if wanted is None else found.join(wanted, "node", "left_semi")
 
 
+def _eligible(arcs: DataFrame) -> DataFrame:
+    """(node): nodes that may be taken out without making more arcs than they have: in * out <= in + out <= MOST_ARCS."""
+    ends = arcs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    sized = ends.groupBy("node").agg(F.sum("out").alias("outs"), F.count("*").alias("n"))
+    ins = F.col("n") - F.col("outs")
+    return sized.where((F.col("n") <= MOST_ARCS) & (ins * F.col("outs") <= F.col("n"))).select("node")
+
+
+def _taken_out(arcs: DataFrame, round_: int, heavy: list) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes taken out, their arcs as (node, ins, outs), the arcs that are left and those that replace them).
+
+    Of neighbouring nodes that may be taken out only the one with the greatest rank is, so what a node taken out hangs on stays.
+    """
+    may = _eligible(arcs)
+    rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(round_)), F.col(c))
+    between = skewed_join(skewed_join(arcs, may.withColumnRenamed("node", "a"), ["a"], "left_semi", heavy=heavy), may.withColumnRenamed("node", "b"), ["b"], "left_semi", heavy=heavy)
+    beaten = between.select(F.when(rank("a") < rank("b"), F.col("a")).otherwise(F.col("b")).alias("node")).distinct()
+    gone = checkpointed(may.join(beaten, "node", "left_anti"))
+    marked = checkpointed(
+        skewed_join(
+            skewed_join(arcs, gone.select(F.col("node").alias("a"), F.lit(True).alias("a_gone")), ["a"], "left", heavy=heavy),
+            gone.select(F.col("node").alias("b"), F.lit(True).alias("b_gone")), ["b"], "left", heavy=heavy,
+        )
+    )
+    ins = marked.where("b_gone").groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", "w")).alias("ins"))
+    outs = marked.where("a_gone").groupBy(F.col("a").alias("node")).agg(F.collect_list(F.struct("b", "w")).alias("outs"))
+    hung = checkpointed(ins.join(outs, "node", "full_outer"))
+    through = F.flatten(F.transform("ins", lambda i: F.transform("outs", lambda o: F.struct(i["a"].alias("a"), o["b"].alias("b"), (i["w"] + o["w"]).alias("w")))))
+    short = hung.select(F.explode(through).alias("e")).select("e.*").where("a <> b")
+    left = marked.where("a_gone is null and b_gone is null").select("a", "b", "w").unionByName(short).groupBy("a", "b").agg(F.min("w").alias("w"))
+    return gone, hung, checkpointed(left)
+
+
+def _nearest(offers: DataFrame) -> DataFrame:
+    return offers.groupBy("source", "node").agg(F.min("dist").alias("dist"))
+
+
+def _contracted_search(arcs: DataFrame, sources: DataFrame, wanted: DataFrame | None, broadcast_arcs: int) -> DataFrame:
+    """Takes nodes out until the arcs can be broadcast or few more go, searches what is left, and puts the nodes back."""
+    arcs = checkpointed(arcs.where("a <> b"))
+    sources = checkpointed(_nearest(sources))
+    levels: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    # a node with very many arcs keeps them, as it is never taken out; new ones of its kind don't arise
+    heavy = sorted({*frequent_candidates(arcs, "a"), *frequent_candidates(arcs, "b")})
+    n = arcs.count()
+    while n > max(broadcast_arcs, 0):
+        gone, hung, left = _taken_out(arcs, len(levels), heavy)
+        kept = left.count()
+        if kept > (1 - LEAST_TAKEN) * n and levels or kept == n:
+            break
+        # what starts at a node taken out starts from the nodes behind it instead, and stays known for the way back
+        held = checkpointed(sources.join(hung.select("node", "outs"), "node"))
+        onward = held.where("outs is not null").select("source", "dist", F.explode("outs").alias("o")).select("source", F.col("o.b").alias("node"), (F.col("dist") + F.col("o.w")).alias("dist"))
+        levels.append((hung.select("node", "ins"), held.select("source", "node", "dist"), gone if wanted is None else wanted))
+        sources = checkpointed(_nearest(sources.join(gone, "node", "left_anti").unionByName(onward)))
+        if wanted is not None:
+            asked = hung.join(wanted, "node", "left_semi").where("ins is not null").select(F.explode("ins").alias("i")).select(F.col("i.a").alias("node"))
+            wanted = checkpointed(wanted.join(gone, "node", "left_anti").unionByName(asked).distinct())
+        arcs, n = left, kept
+    if n <= broadcast_arcs:
+        found = _broadcast_search(arcs.sparkSession, arcs.toArrow(), sources, wanted)
+    else:
+        found = _frontier_search(arcs, sources, wanted)
+    for hung, held, asked in reversed(levels):
+        found = checkpointed(found)
+        back = hung.join(asked.select("node").distinct(), "node", "left_semi").where("ins is not null").select(F.col("node").alias("back"), F.explode("ins").alias("i"))
+        arrived = skewed_join(back.select("back", F.col("i.a").alias("node"), F.col("i.w").alias("w")), found, ["node"], heavy=heavy)
+        offers = arrived.select("source", F.col("back").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+        mine = held.join(asked.select("node").distinct(), "node", "left_semi").select("source", "node", "dist")
+        found = found.unionByName(_nearest(offers.unionByName(mine)))
+    return found
+
+
 def _frontier_search(arcs: DataFrame, sources: DataFrame, wanted: DataFrame | None) -> DataFrame:
-    """Rounds of relaxing: nodes whose distance fell in a round are the next frontier."""
+    """Rounds of relaxing: nodes whose distance fell in a round are the next frontier. Ends when none did, as weights aren't negative."""
     arcs = checkpointed(arcs)
-    best = checkpointed(sources.select("source", "node").distinct().withColumn("dist", F.lit(0.0)))
-    front = best
-    for _ in range(MOST_ROUNDS):
-        if not front.limit(1).count():
-            return best if wanted is None else best.join(wanted, "node", "left_semi")
+    best = front = checkpointed(_nearest(sources))
+    heavy = frequent_candidates(arcs, "a")
+    while front.limit(1).count():
         # a node with very many arcs is met by broadcast
-        steps = skewed_join(arcs.withColumnRenamed("a", "node"), front, ["node"], share=0.02)
-        offers = steps.select("source", F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("offer")).groupBy("source", "node").agg(F.min("offer").alias("offer"))
+        steps = skewed_join(arcs.withColumnRenamed("a", "node"), front, ["node"], heavy=heavy)
+        offers = _nearest(steps.select("source", F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))).withColumnRenamed("dist", "offer")
         better = checkpointed(offers.join(best, ["source", "node"], "left").where(F.col("dist").isNull() | (F.col("offer") < F.col("dist"))).select("source", "node", F.col("offer").alias("dist")))
         best = checkpointed(best.join(better, ["source", "node"], "left_anti").unionByName(better))
         front = better
-    raise RuntimeError(f"search did not end in {MOST_ROUNDS} rounds")
+    return best if wanted is None else best.join(wanted, "node", "left_semi")
 
 
 def search(graph: Graph, sources: DataFrame, wanted: DataFrame | None = None, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
@@ -139,10 +220,12 @@ def search(graph: Graph, sources: DataFrame, wanted: DataFrame | None = None, br
     arcs = _arcs(graph)
     if graph.options.weight_tag and arcs.where("w < 0").limit(1).count():
         raise ValueError("negative weight")
+    started = sources.select("source", "node", F.lit(0.0).alias("dist")).distinct()
     head = arcs.limit(broadcast_edges + 1).toArrow()
     if head.num_rows <= broadcast_edges:
-        return _broadcast_search(spark, head, sources, wanted)
-    return _frontier_search(arcs, sources, wanted)
+        return _broadcast_search(spark, head, started, wanted)
+    found = _contracted_search(arcs, started, wanted, broadcast_edges)
+    return found if wanted is None else found.join(wanted, "node", "left_semi")
 
 
 def _one_set(spark: SparkSession, nodes: DataFrame, name: str) -> DataFrame:
@@ -201,8 +284,6 @@ def warn_quadratic(n_a: int, n_b: int) -> None:
 
 def path_nodes(records: DataFrame) -> DataFrame:
     """(i, name, node): steps of all paths, paths numbered from 0 in file order. Repeated steps stay."""
-    from braidlake.operators.matrix import densely_numbered
-
     steps = load_paths(records)
     ranks = densely_numbered(steps.select("name", "path_rank").distinct(), ["path_rank"], "i").select("name", "i")
     return steps.join(ranks, "name").select("i", "name", "node")
@@ -233,10 +314,17 @@ def genome_distance_matrix(records: DataFrame, method: str = "min", broadcast_ed
     return full.select("i", "j", F.col("name").alias("path_a"), "path_b", dist.alias("dist"))
 
 
-def pivoted(matrix: DataFrame) -> np.ndarray:
-    """The distance matrix as an array on the driver, for writing it out."""
-    rows = matrix.select("i", "j", "dist").toPandas()
+def labelled(matrix: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(names of the paths in file order, the distance matrix) on the driver, for writing it out; a path per row and column."""
+    rows = matrix.select("i", "j", "path_a", "dist").toPandas()
     n = int(rows.i.max()) + 1 if len(rows) else 0
-    out = np.zeros((n, n))
+    out, names = np.zeros((n, n)), [""] * n
     out[rows.i, rows.j] = rows.dist
-    return out
+    for i, name in rows[rows.j == 0][["i", "path_a"]].itertuples(index=False):
+        names[i] = name
+    return names, out
+
+
+def pivoted(matrix: DataFrame) -> np.ndarray:
+    """The distance matrix without names."""
+    return labelled(matrix)[1]

@@ -6,36 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.operators.graph import Graph
+from braidlake.operators.numbering import at_key, densely_numbered
 from braidlake.operators.skew import frequent_candidates, skewed_join
 from braidlake.schema import DTYPES, ITEM_BYTES
 from braidlake.session import checkpointed
 
-_LOW = (1 << 33) - 1
-#: Nodes in more than this share of the entries meet the index by broadcast.
-SHARE = 0.05
-
-
-def densely_numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
-    """`df` with `name`: 0, 1, 2, ... in the given order, without bringing all rows to one task.
-
-    Rows are range-partitioned and sorted, and each partition's offset is added; the driver sees one count per partition.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # written first, as ranges are found by reading all rows once before they are moved
-    ordered = checkpointed(df).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # the numbers depend on the partitioning, so it is fixed before they are used
-    fixed = checkpointed(ordered.withColumns({"_part": F.spark_partition_id(), "_low": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW))}))
-    counts = dict(fixed.groupBy("_part").count().collect())
-    offsets, at = [], 0
-    for p in sorted(counts):
-        offsets.append((p, at))
-        at += counts[p]
-    if not offsets:
-        return fixed.withColumn(name, F.lit(0).cast("bigint")).drop("_part", "_low")
-    start = F.create_map(*[F.lit(x) for p, o in offsets for x in (p, o)])
-    return fixed.withColumn(name, (F.element_at(start, F.col("_part")) + F.col("_low")).cast("bigint")).drop("_part", "_low")
-
 
 def node_index(graph: Graph) -> DataFrame:
     """(idx, node): nodes numbered from 0 by first appearance."""
@@ -75,8 +50,8 @@ def coo_matrix(graph: Graph, index: DataFrame | None = None, dtype: str = "float
     """
     index = node_index(graph) if index is None else index
     summed = checkpointed(_summed(triplets(graph, dtype), ["src", "dst"], dtype))
-    heavy = frequent_candidates(summed, "dst", SHARE)
-    rows = skewed_join(summed, index.select(F.col("node").alias("src"), F.col("idx").alias("row")), ["src"], share=SHARE)
+    heavy = frequent_candidates(summed, "dst")
+    rows = skewed_join(summed, index.select(F.col("node").alias("src"), F.col("idx").alias("row")), ["src"])
     both = skewed_join(rows, index.select(F.col("node").alias("dst"), F.col("idx").alias("col")), ["dst"], heavy=heavy).select("row", "col", "value")
     if asymmetric or not graph.options.matrix_directed:
         return both
@@ -109,8 +84,8 @@ def compressed(coo: DataFrame, n: int, by: str = "row") -> tuple[DataFrame, Data
     for r in sorted(firsts, reverse=True):
         following[r] = after
         after = after if firsts[r] is None else firsts[r]
-    nexts = F.create_map(*[F.lit(x) for r, s in following.items() for x in (r, s)])
-    indptr = carried.select("k", F.coalesce("_start", F.element_at(nexts, F.col("_range"))).cast("bigint").alias("start"))
+    nexts = at_key(carried, "_range", following, "_next")
+    indptr = nexts.select("k", F.coalesce("_start", "_next").cast("bigint").alias("start"))
     return indptr, entries
 
 

@@ -1,19 +1,23 @@
 """References to keys that are absent, deleted or not yet loaded at the time of the reference.
 
-Skew-aware: references to heavy keys are checked against a broadcast of those keys' periods of presence; the remaining
-keys meet the periods in a shuffle by key (an as-of merge, linear in both sides); the orphans of both are unioned.
+Skew-aware: references are summed per key first, to the period from its first to its last reference, on the map side, so
+that a hot key is a row per task. A key present all through its period has no orphan. Only references to the remaining
+keys are looked at one by one: those to heavy keys against a broadcast of the keys' periods of presence, the others in a
+shuffled anti-join; the orphans of both are unioned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidlake.operators.skew import BROADCAST_ROWS, frequent_candidates
-from braidlake.session import unused
+from braidlake.operators.skew import fits_broadcast, frequent_candidates, split_by_weight
+from braidlake.session import checkpointed, unused
 
 #: After any time that occurs.
 FOREVER = "9999-12-31 00:00:00"
+#: Rows of keys that may be sent to all tasks; fits_broadcast bounds their bytes as well.
+MOST_KEYS = 500_000
 
 
 def merged_periods(periods: DataFrame, within: list[str]) -> DataFrame:
@@ -32,58 +36,80 @@ def presence(rows: DataFrame, key: str = "seg_id", loaded: str = "loaded_at", de
     return out.where(F.col(key).isNotNull() & (F.col(key) != "") & (F.col("start") < F.col("stop")))
 
 
-def _heavy_orphans(refs: DataFrame, periods: DataFrame, heavy: list) -> DataFrame | None:
-    """Orphans among references to heavy keys; None if these keys have too many periods to broadcast."""
-    mine = periods.where(F.col("seg_id").isin(heavy))
-    # By day first: a key with very many rows is merged by many tasks before its few remaining periods meet in one.
-    by_day = merged_periods(mine.withColumn("_day", F.to_date("start")), ["seg_id", "_day"]).drop("_day")
-    merged = merged_periods(by_day, ["seg_id"])
-    rows = merged.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        return None
-    side = refs.sparkSession.createDataFrame(rows, merged.schema)
-    key, start, stop = (unused(x, refs.columns) for x in ("key", "start", "stop"))
-    side = side.select(F.col("seg_id").alias(key), F.col("start").alias(start), F.col("stop").alias(stop))
-    hit = (F.col("seg_id") == F.col(key)) & (F.col(start) <= F.col("t")) & (F.col("t") < F.col(stop))
-    return refs.where(F.col("seg_id").isin(heavy)).join(F.broadcast(side), hit, "left_anti")
+def presence_islands(periods: DataFrame, heavy: list) -> DataFrame:
+    """(seg_id, start, stop), merged. Periods of the given heavy keys are merged by day first, so that many tasks share a key."""
+    light, hot = split_by_weight(periods, "seg_id", heavy)
+    islands = merged_periods(light, ["seg_id"])
+    if not heavy:
+        return islands
+    by_day = merged_periods(hot.withColumn("_day", F.to_date("start")), ["seg_id", "_day"]).drop("_day")
+    return islands.unionByName(merged_periods(by_day, ["seg_id"]))
+
 
+def suspects(refs: DataFrame, islands: DataFrame) -> DataFrame:
+    """(seg_id): keys that are not present from their first reference to their last. References without time are left out.
+
+    What is shuffled is one row per key and task.
+    """
+    spans = refs.where("t is not null").groupBy("seg_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    held = islands.select("seg_id", "start", "stop")
+    return spans.join(held, (spans.seg_id == held.seg_id) & (held.start <= spans["first"]) & (spans["last"] < held.stop), "left_anti").select("seg_id")
 
-def _merge_orphans(refs: DataFrame, periods: DataFrame) -> DataFrame:
-    """Orphans by one sort per key: a reference is served iff the latest stop among earlier starts lies after it."""
-    names = [f.name for f in refs.schema if f.name not in ("seg_id", "t")]
-    kind, stop, until = (unused(x, refs.columns) for x in ("kind", "stop", "until"))
-    events = refs.withColumns({kind: F.lit(1), stop: F.lit(None).cast("timestamp_ntz")}).unionByName(
-        periods.select("seg_id", F.col("start").alias("t"), F.lit(0).alias(kind), F.col("stop").alias(stop), *[F.lit(None).cast(refs.schema[n].dataType).alias(n) for n in names])
-    )
-    order = Window.partitionBy("seg_id").orderBy("t", kind).rowsBetween(Window.unboundedPreceding, 0)
-    reach = events.withColumn(until, F.max(stop).over(order))
-    return reach.where((F.col(kind) == 1) & ((F.col(until) <= F.col("t")) | F.col(until).isNull())).drop(kind, stop, until)
 
+def _month(t: Column) -> Column:
+    return F.year(t) * 12 + F.month(t)
 
-def orphan_references(refs: DataFrame, periods: DataFrame, share: float = 0.005) -> DataFrame:
+
+def _absent(refs: DataFrame, islands: DataFrame, heavy: list) -> DataFrame:
+    """The rows of refs at a time when their key is on no island; heavy keys by broadcast, or by key and month if they have too many islands."""
+    key, start, stop, month = (unused(x, refs.columns) for x in ("key", "start", "stop", "month"))
+    named = islands.select(F.col("seg_id").alias(key), F.col("start").alias(start), F.col("stop").alias(stop))
+    hit = (F.col("seg_id") == F.col(key)) & (F.col(start) <= F.col("t")) & (F.col("t") < F.col(stop))
+    (light, hot), (light_side, hot_side) = split_by_weight(refs, "seg_id", heavy), split_by_weight(named, key, heavy)
+    found = light.join(light_side, hit, "left_anti")
+    if not heavy:
+        return found
+    if fits_broadcast(hot_side):
+        return found.unionByName(hot.join(F.broadcast(hot_side), hit, "left_anti"))
+    least, most = hot.agg(F.min(_month(F.col("t"))), F.max(_month(F.col("t")))).collect()[0]
+    if least is None:
+        return found.unionByName(hot)
+    clipped = [F.greatest(_month(F.col(start)), F.lit(least)), F.least(_month(F.col(stop)), F.lit(most))]
+    by_month = hot_side.where(clipped[0] <= clipped[1]).withColumn(month, F.explode(F.sequence(*clipped)))
+    marked = hot.withColumn("_at", F.coalesce(_month(F.col("t")), F.lit(0)))
+    return found.unionByName(marked.join(by_month, hit & (F.col("_at") == F.col(month)), "left_anti").drop("_at"))
+
+
+def orphan_references(refs: DataFrame, periods: DataFrame, share: float | None = None) -> DataFrame:
     """The rows of `refs` (seg_id, t, and any other columns) whose key is not present at t according to `periods` (seg_id, start, stop).
 
     Null and empty keys are no references. A reference without time is an orphan, as no row was loaded by then. Repeated
-    rows stay repeated. With empty periods every reference is an orphan; empty refs give an empty result.
+    rows stay repeated. With empty periods every reference is an orphan; empty refs give an empty result. Keys with more than
+    `share` of the references or of the periods (default: a task's fair share) are heavy.
     """
     refs = refs.where(F.col("seg_id").isNotNull() & (F.col("seg_id") != ""))
-    heavy = sorted({*frequent_candidates(refs, "seg_id", share), *frequent_candidates(periods, "seg_id", share)})
-    if not heavy:
-        return _merge_orphans(refs, periods)
-    found = _heavy_orphans(refs, periods, heavy)
-    if found is None:  # heavy keys whose periods can't be broadcast are merged like the others
-        return _merge_orphans(refs, periods)
-    rest = ~F.col("seg_id").isin(heavy)
-    return found.unionByName(_merge_orphans(refs.where(rest), periods.where(rest)))
+    often = frequent_candidates(periods, "seg_id", share)
+    keys = checkpointed(suspects(refs, presence_islands(periods, often)))
+    heavy = frequent_candidates(refs, "seg_id", share)
+    untimed, timed = refs.where("t is null"), refs.where("t is not null")
+    if fits_broadcast(keys, MOST_KEYS):
+        # the few references in question are told where they are read
+        keys = F.broadcast(keys)
+        return _absent(timed.join(keys, "seg_id", "left_semi"), presence_islands(periods.join(keys, "seg_id", "left_semi"), often), heavy).unionByName(untimed)
+    (light, hot), (light_keys, hot_keys) = split_by_weight(timed, "seg_id", heavy), split_by_weight(keys, "seg_id", heavy)
+    asked = light.join(light_keys, "seg_id", "left_semi").unionByName(hot.join(F.broadcast(hot_keys), "seg_id", "left_semi"))
+    return _absent(asked, presence_islands(periods, often), heavy).unionByName(untimed)
 
 
 def first_delivery_only(found: DataFrame, deliveries: DataFrame) -> DataFrame:
     """Of `found` (rec_id, t, ...), the rows at the earliest t of their record; `deliveries` is (rec_id, t) of all rows as delivered.
 
-    Only records delivered more than once can differ, so only those are joined; t null counts as latest.
+    Only deliveries of records in `found` are compared, and only records delivered more than once can differ; t null counts as latest.
     """
     first = unused("first", found.columns)
-    again = deliveries.groupBy("rec_id").agg(F.min("t").alias(first), F.count("*").alias("n_deliveries")).where("n_deliveries > 1")
+    records = found.select("rec_id").distinct()
+    mine = deliveries.join(F.broadcast(records) if fits_broadcast(records, MOST_KEYS) else records, "rec_id", "left_semi")
+    again = mine.groupBy("rec_id").agg(F.min("t").alias(first), F.count("*").alias("n_deliveries")).where("n_deliveries > 1")
     joined = found.join(again.select("rec_id", first), "rec_id", "left")
     return joined.where(F.col(first).isNull() | F.col("t").eqNullSafe(F.col(first))).drop(first)
 

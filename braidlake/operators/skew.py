@@ -11,12 +11,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlake.session import unused
+from braidlake.session import fair_share, unused
 
-#: Rows of the other side that may be broadcast for the heavy keys; beyond it the heavy keys are salted instead.
+#: Rows and bytes of the other side that may be broadcast for the heavy keys; beyond them the heavy keys are salted instead.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32_000_000
 #: A sketch with m counters undercounts a key by at most 3.5 / m of all rows; 32 / share keeps that under a ninth of the share.
 COUNTERS_PER_SHARE = 32
+#: Heavy keys that are written into a plan as values; more are a small table in it.
+MOST_VALUES = 256
 
 
 def _counters(share: float) -> int:
@@ -30,9 +33,9 @@ def _sketched(df: DataFrame, key: str, share: float) -> tuple[list, int]:
     return [item["item"] for item in found or [] if item["count"] >= share * n / 2], n
 
 
-def frequent_candidates(df: DataFrame, key: str, share: float) -> list:
-    """Every key with at least `share` of all rows, and possibly a few more; at most 2 / share keys."""
-    return _sketched(df, key, share)[0]
+def frequent_candidates(df: DataFrame, key: str, share: float | None = None) -> list:
+    """Every key with at least `share` of all rows (default: a task's fair share), and possibly a few more; at most 2 / share keys."""
+    return _sketched(df, key, share or fair_share(df.sparkSession))[0]
 
 
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
@@ -46,7 +49,23 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     return counted.withColumn("n_total", F.lit(n).cast("bigint")).where(F.col("n_rows") >= F.lit(share) * n)
 
 
-def skewed_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", share: float = 0.01, heavy_on: str | None = None, broadcast_rows: int = BROADCAST_ROWS, heavy: list | None = None) -> DataFrame:
+def split_by_weight(df: DataFrame, key: str, heavy: list) -> tuple[DataFrame, DataFrame]:
+    """(rows of other keys, null ones included, rows of the heavy keys), without a shuffle."""
+    if len(heavy) <= MOST_VALUES:
+        is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+        return df.where(~is_heavy), df.where(is_heavy)
+    keys = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in heavy], df.select(key).schema))  # at most 2 / share
+    return df.join(keys, key, "left_anti").select(df.columns), df.join(keys, key, "left_semi").select(df.columns)
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` has at most so many rows and bytes (as text). Runs a job over no more rows than that."""
+    text = F.length(F.to_json(F.struct(*df.columns)))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).collect()[0]
+    return n <= rows and total <= size
+
+
+def skewed_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", share: float | None = None, heavy_on: str | None = None, broadcast_rows: int = BROADCAST_ROWS, heavy: list | None = None) -> DataFrame:
     """`big` joined with `small` on equal columns `on`; `how` is inner, left, left_semi or left_anti.
 
     heavy_on names the one column of `on` by which heavy keys are told (default: the first); where they are known already,
@@ -59,11 +78,9 @@ def skewed_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     found = frequent_candidates(big, key, share) if heavy is None else heavy
     if not found:
         return big.join(small, on, how)
-    is_heavy = F.coalesce(F.col(key).isin(found), F.lit(False))
-    light = big.where(~is_heavy).join(small.where(~is_heavy), on, how)
-    heavy_big, heavy_small = big.where(is_heavy), small.where(is_heavy)
-    n = heavy_small.limit(broadcast_rows + 1).count()
-    if n <= broadcast_rows:
+    (light_big, heavy_big), (light_small, heavy_small) = split_by_weight(big, key, found), split_by_weight(small, key, found)
+    light = light_big.join(light_small, on, how)
+    if fits_broadcast(heavy_small, broadcast_rows):
         joined = heavy_big.join(F.broadcast(heavy_small), on, how)
     else:
         salt = unused("salt", [*big.columns, *small.columns])
@@ -84,5 +101,22 @@ def count_distinct_pairs(df: DataFrame, key: str, value: str, rows: str, distinc
     return pairs.groupBy(key).agg(F.sum("_n").alias(rows), F.count(value).alias(distinct))
 
 
+def per_key(df: DataFrame, side: DataFrame, key: str, value: str, rows: str, distinct: str, heavy: list | None = None) -> DataFrame:
+    """Per key of `df` the number of rows and of distinct values, with the columns of its one row in `side`, null without one.
+
+    Rows of heavy keys are spread by (key, value) and their results meet a broadcast of side's rows for these keys;
+    the rest is shuffled once by key, in which it is counted and joined; the union has every key once. `side` has at
+    most one row per key. Null keys have no row; null values count as rows only.
+    """
+    df = df.where(F.col(key).isNotNull())
+    found = frequent_candidates(df, key) if heavy is None else heavy
+    (light, hot), (light_side, hot_side) = split_by_weight(df, key, found), split_by_weight(side, key, found)
+    counted = count_distinct_pairs(light.repartition(key), key, value, rows, distinct).join(light_side, key, "left")
+    if not found:
+        return counted
+    # at most 2 / share keys, each with one row
+    return counted.unionByName(count_distinct_pairs(hot, key, value, rows, distinct).join(F.broadcast(hot_side), key, "left"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braidlake.functions.ids import WHITESPACE, segment_id, step_ids
 from braidlake.operators.orphans import first_delivery_only, orphan_counts, orphan_references, presence
-from braidlake.operators.skew import count_distinct_pairs, heavy_keys, skewed_join, union_all
+from braidlake.operators.skew import frequent_candidates, heavy_keys, per_key, skewed_join, union_all
 from braidlake.session import table
 from braidlake.sources.rejects import failing
 
@@ -36,25 +36,38 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return union_all([heavy_keys(df, "seg_id", HEAVY_SHARE).where(_real(F.col("seg_id"))).select(F.lit(field).alias("field"), "seg_id") for field, df in both.items()])
 
 
+def _lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """(seg_id, length): the longest loaded length of each segment."""
+    return _loaded(spark, folder).where(_real(F.col("seg_id"))).groupBy("seg_id").agg(F.max("length").alias("length"))
+
+
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair of a segment and a segment it links to, with the number of links and the neighbour's longest loaded length.
+    """Every pair of a segment and a segment it links to, with the number of links and the segment's longest loaded length.
 
-    Pairs are counted before anything is joined, so each reaches the join once.
+    Heavy segments are told on the links themselves. Pairs are counted before anything is joined, so each reaches the join once.
     """
-    pairs = _links(spark, folder).where(_real(F.col("seg_id")) & _real(F.col("neighbour"))).groupBy("seg_id", "neighbour").agg(F.count("*").alias("n_links"))
-    lengths = _loaded(spark, folder).groupBy("seg_id").agg(F.max("length").alias("neighbour_length"))
-    return skewed_join(pairs, lengths.withColumnRenamed("seg_id", "neighbour"), ["neighbour"], "left").select("seg_id", "neighbour", "n_links", "neighbour_length")
+    links = _links(spark, folder).where(_real(F.col("seg_id")) & _real(F.col("neighbour")))
+    heavy = frequent_candidates(links, "seg_id")
+    pairs = links.groupBy("seg_id", "neighbour").agg(F.count("*").alias("n_links"))
+    return skewed_join(pairs, _lengths(spark, folder), ["seg_id"], "left", heavy=heavy).select("seg_id", "neighbour", "n_links", "length")
 
 
 def p2_link_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Per from_segment the number of links and of distinct neighbours."""
-    links = _links(spark, folder).where(_real(F.col("seg_id")))
-    return count_distinct_pairs(links, "seg_id", "neighbour", "n_links", "n_neighbours")
+    """Per from_segment the number of links and of distinct neighbours, with the segment's longest loaded length."""
+    return per_key(_links(spark, folder).where(_real(F.col("seg_id"))), _lengths(spark, folder), "seg_id", "neighbour", "n_links", "n_neighbours")
 
 
 def p2_path_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Per segment the number of steps and of distinct path records with such a step."""
-    return count_distinct_pairs(_steps(spark, folder).where(_real(F.col("seg_id"))), "seg_id", "rec_id", "n_steps", "n_paths")
+    """Per segment the number of steps and of distinct path records with such a step, with the segment's longest loaded length."""
+    return per_key(_steps(spark, folder).where(_real(F.col("seg_id"))), _lengths(spark, folder), "seg_id", "rec_id", "n_steps", "n_paths")
+
+
+def p2_containing_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a segment and a path record that contains it, with the number of such steps and the segment's longest loaded length."""
+    steps = _steps(spark, folder).where(_real(F.col("seg_id")))
+    heavy = frequent_candidates(steps, "seg_id")
+    pairs = steps.groupBy("seg_id", "rec_id").agg(F.count("*").alias("n_steps"))
+    return skewed_join(pairs, _lengths(spark, folder), ["seg_id"], "left", heavy=heavy).select("seg_id", "rec_id", "n_steps", "length")
 
 
 # --- failing rows -------------------------------------------------------------------------------------------------
@@ -109,7 +122,7 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_counts(orphans(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_link_counts, p2_path_counts, p4_found, p4_reasons, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_link_counts, p2_path_counts, p2_containing_paths, p4_found, p4_reasons, p5_found, p5_counts)}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------
 
@@ -126,6 +139,7 @@ _LOADED = (
     f"SELECT {id_sql('id')} AS seg_id, length, loaded_at, deleted_at FROM segments UNION ALL "
     f"SELECT {id_sql('id')}, length, loaded_at, NULL FROM anchor_segments"
 )
+_LENGTHS = f"SELECT seg_id, max(length) AS length FROM ({_LOADED}) WHERE seg_id <> '' GROUP BY seg_id"
 _ORPHANS = f"""
 WITH loaded AS (SELECT seg_id, loaded_at, coalesce(deleted_at, TIMESTAMP '9999-12-31') AS gone FROM ({_LOADED})),
 refs AS (
@@ -144,11 +158,13 @@ SELECT 'from_segment' AS field, seg_id FROM ({_LINKS}) WHERE seg_id <> '' GROUP
 UNION ALL
 SELECT 'segments', seg_id FROM ({_STEPS}) WHERE seg_id <> '' GROUP BY seg_id HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM ({_STEPS}))""",
     "p2_neighbours": f"""
-SELECT p.seg_id, p.neighbour, p.n_links, l.neighbour_length
-FROM (SELECT seg_id, neighbour, count(*) AS n_links FROM ({_LINKS}) WHERE seg_id <> '' AND neighbour <> '' GROUP BY ALL) AS p
-LEFT JOIN (SELECT seg_id, max(length) AS neighbour_length FROM ({_LOADED}) GROUP BY ALL) AS l ON l.seg_id = p.neighbour""",
-    "p2_link_counts": f"SELECT seg_id, count(*) AS n_links, count(DISTINCT neighbour) AS n_neighbours FROM ({_LINKS}) WHERE seg_id <> '' GROUP BY seg_id",
-    "p2_path_counts": f"SELECT seg_id, count(*) AS n_steps, count(DISTINCT rec_id) AS n_paths FROM ({_STEPS}) WHERE seg_id <> '' GROUP BY seg_id",
+SELECT p.*, l.length FROM (SELECT seg_id, neighbour, count(*) AS n_links FROM ({_LINKS}) WHERE seg_id <> '' AND neighbour <> '' GROUP BY ALL) AS p LEFT JOIN ({_LENGTHS}) AS l USING (seg_id)""",
+    "p2_link_counts": f"""
+SELECT p.*, l.length FROM (SELECT seg_id, count(*) AS n_links, count(DISTINCT neighbour) AS n_neighbours FROM ({_LINKS}) WHERE seg_id <> '' GROUP BY seg_id) AS p LEFT JOIN ({_LENGTHS}) AS l USING (seg_id)""",
+    "p2_path_counts": f"""
+SELECT p.*, l.length FROM (SELECT seg_id, count(*) AS n_steps, count(DISTINCT rec_id) AS n_paths FROM ({_STEPS}) WHERE seg_id <> '' GROUP BY seg_id) AS p LEFT JOIN ({_LENGTHS}) AS l USING (seg_id)""",
+    "p2_containing_paths": f"""
+SELECT p.*, l.length FROM (SELECT seg_id, rec_id, count(*) AS n_steps FROM ({_STEPS}) WHERE seg_id <> '' GROUP BY ALL) AS p LEFT JOIN ({_LENGTHS}) AS l USING (seg_id)""",
     "p5_found": f"SELECT table_name, rec_id, seg_id FROM ({_ORPHANS})",
     "p5_counts": f"""
 SELECT table_name, CAST(date_trunc('month', t) AS TIMESTAMP) AS month, count(*) AS n_orphans, count(DISTINCT rec_id) AS n_records, count(DISTINCT seg_id) AS n_keys

@@ -85,6 +85,16 @@ def matrix_csr_indptr(spark: SparkSession, folder: str) -> DataFrame:
     return matrix.compressed(matrix.coo_matrix(graph, index, asymmetric=True), index.count())[0]
 
 
+def _converted(fmt: str, part: int | None = None):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        graph = build_graph(graph_records(spark, folder))
+        index = matrix.node_index(graph)
+        out = matrix.convert_format(matrix.coo_matrix(graph, index, asymmetric=True), fmt, index.count())
+        return out.select("key.row", "key.col", "value") if part is None else out[part]
+
+    return query
+
+
 def graph_stats(spark: SparkSession, folder: str) -> DataFrame:
     records = graph_records(spark, folder).unionByName(parse_lines(path_lines(spark, folder)))
     return stats(records).withColumn("density", F.round("density", 12))
@@ -108,12 +118,25 @@ def split_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Rewired alignments; an end without interval is null, and splitting leaves such an edge out."""
+    """Rewired alignments and links; an end without interval is null, and splitting leaves such an edge out."""
     return rewired(_splittable(spark, folder)).select("ord.rec_id", "from_node", "to_node")
 
 
 def _splittable(spark: SparkSession, folder: str) -> DataFrame:
-    return parse_lines(segment_lines(spark, folder).unionByName(edge_lines(spark, folder)))
+    return graph_records(spark, folder)
+
+
+def _split_graph(spark: SparkSession, folder: str):
+    return build_graph(_splittable(spark, folder), GraphOptions(split_on_alignment=True))
+
+
+def split_graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return _split_graph(spark, folder).nodes
+
+
+def split_graph_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of the split graph: chains, then alignments, then links, of parallel ones the last attributes."""
+    return _split_graph(spark, folder).edges.select("src", "dst", "orientation_from", "orientation_to")
 
 
 def export_edge_list(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,6 +159,13 @@ def _path_matrix(method: str):
     return query
 
 
+def frontier_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """As anchor_distances, with nothing broadcast: by contraction and rounds of joins, as for graphs of any size."""
+    graph = build_graph(graph_records(spark, folder), GraphOptions(directed=False))
+    anchors = table(spark, folder, "anchor_segments").select(F.lit("anchors").alias("source"), F.col("id").alias("node"))
+    return distance.search(graph, anchors, broadcast_edges=0).select("node", "dist")
+
+
 def weighted_distance(spark: SparkSession, folder: str) -> DataFrame:
     """Weighted distance from the first part to every part, over links of orders; of parallel links the last weight counts."""
     graph = build_graph(parse_lines(order_lines(spark, folder)), GraphOptions(weight_tag=WEIGHT))
@@ -147,7 +177,6 @@ QUERIES = {f.__name__: f for f in (parse_segments, parse_links, parse_tags, pars
     "graph_directed_edges": _edges(GraphOptions(), "orientation_from", "orientation_to"),
     "graph_undirected_edges": _edges(GraphOptions(directed=False), "orientation_from", "orientation_to"),
     "graph_weighted": _edges(GraphOptions(weight_tag=WEIGHT), "weight"),
-    "graph_strip_orientation": _edges(GraphOptions(strip_orientation=True)),
     "graph_bidirected_edges": _edges(GraphOptions(bidirected=True)),
     "graph_bidirected_kept": _edges(GraphOptions(bidirected=True, keep_directed_bidir=True)),
     "multigraph_edges": _edges(GraphOptions(multigraph=True), "orientation_from", "orientation_to"),
@@ -156,9 +185,13 @@ QUERIES = {f.__name__: f for f in (parse_segments, parse_links, parse_tags, pars
     "matrix_symmetric_max": _matrix(),
     "matrix_undirected": _matrix(directed=False),
     "matrix_bool": _matrix(dtype="bool"),
+    "matrix_int8": _matrix(dtype="int8"),
+    "matrix_int32": _matrix(dtype="int32"),
+    "matrix_float32": _matrix(dtype="float32"),
+    "matrix_multigraph": _matrix(asymmetric=True, multigraph=True),
 } | {
-    f.__name__: f for f in (matrix_csr_indptr, graph_stats, graph_degrees, component_sizes, split_nodes, split_chain, split_edges, export_edge_list, anchor_distances, weighted_distance)
-} | {"distance_matrix_min": _path_matrix("min"), "distance_matrix_mean": _path_matrix("mean")}
+    f.__name__: f for f in (matrix_csr_indptr, graph_stats, graph_degrees, component_sizes, split_nodes, split_chain, split_edges, split_graph_nodes, split_graph_edges, export_edge_list, anchor_distances, frontier_distances, weighted_distance)
+} | {"matrix_csc_indptr": _converted("csc", 0), "matrix_csr_entries": _converted("csr", 1), "matrix_dok": _converted("dok"), "distance_matrix_min": _path_matrix("min"), "distance_matrix_mean": _path_matrix("mean")}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------
 
@@ -224,11 +257,17 @@ cut AS (
 named AS (SELECT *, seg || ':' || a || '-' || b AS node, row_number() OVER (PARTITION BY seg ORDER BY a) AS k FROM cut)"""
 
 
-def _end_sql(side: str, seg: str) -> str:
-    return f"""coalesce((SELECT node FROM named AS n WHERE n.seg = e.{seg} AND n.a = e.{side}_start AND n.b = e.{side}_end),
-  (SELECT node FROM named AS n WHERE n.seg = e.{seg} AND k = 1 AND ((e.{side}_start IS NULL AND e.{side}_end IS NULL) OR (e.{side}_start = 0 AND e.{side}_end = n.length))))"""
-
-
+_LOCATED = f"""
+all_edges AS (
+  SELECT rec_id, loaded_at, src, dst, a, b, from_start, from_end, to_start, to_end, 1 AS phase FROM e
+  UNION ALL SELECT rec_id, loaded_at, src, dst, a, b, NULL, NULL, NULL, NULL, 2 FROM ({_L})),
+whole AS (SELECT seg, length, node FROM named WHERE k = 1),
+located AS (
+  SELECT e.*, coalesce(fn.node, fw.node) AS from_node, coalesce(tn.node, tw.node) AS to_node FROM all_edges AS e
+  LEFT JOIN named AS fn ON fn.seg = e.src AND fn.a = e.from_start AND fn.b = e.from_end
+  LEFT JOIN whole AS fw ON fw.seg = e.src AND ((e.from_start IS NULL AND e.from_end IS NULL) OR (e.from_start = 0 AND e.from_end = fw.length))
+  LEFT JOIN named AS tn ON tn.seg = e.dst AND tn.a = e.to_start AND tn.b = e.to_end
+  LEFT JOIN whole AS tw ON tw.seg = e.dst AND ((e.to_start IS NULL AND e.to_end IS NULL) OR (e.to_start = 0 AND e.to_end = tw.length)))"""
 _COMPONENTS = f"""
 WITH RECURSIVE e AS ({_L} UNION ALL {_E}), arcs AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 nodes AS (SELECT id AS node FROM ({_S}) UNION SELECT a FROM arcs),
@@ -289,7 +328,6 @@ WHERE len(f) >= CASE f[1] WHEN 'S' THEN 2 WHEN 'L' THEN 5 WHEN 'P' THEN 3 WHEN '
     "graph_directed_edges": _last_sql(_BOTH, "src, dst", "a=orientation_from", "b=orientation_to"),
     "graph_undirected_edges": _last_sql(f"(SELECT least(src, dst) AS src, greatest(src, dst) AS dst, a, b, loaded_at, rec_id FROM {_BOTH})", "src, dst", "a=orientation_from", "b=orientation_to"),
     "graph_weighted": _last_sql(_BOTH, "src, dst", "weight=weight"),
-    "graph_strip_orientation": f"SELECT DISTINCT src, dst FROM {_BOTH}",
     "graph_bidirected_edges": f"""
 SELECT src || ':' || a AS src, dst || ':' || b AS dst FROM {_BOTH} UNION ALL
 SELECT dst || ':' || translate(b, '+-', '-+'), src || ':' || translate(a, '+-', '-+') FROM {_BOTH}""",
@@ -300,6 +338,15 @@ SELECT dst || ':' || translate(b, '+-', '-+'), src || ':' || translate(a, '+-',
     "matrix_symmetric_max": _IDX + "\nSELECT row, col, max(value) AS value FROM c2 GROUP BY ALL",
     "matrix_undirected": _IDX + "\nSELECT row, col, sum(value) AS value FROM c2 GROUP BY ALL",
     "matrix_bool": _IDX + "\nSELECT DISTINCT row, col, true AS value FROM c2",
+    "matrix_int8": _IDX + "\nSELECT row, col, CAST(max(value) AS TINYINT) AS value FROM c2 GROUP BY ALL",
+    "matrix_int32": _IDX + "\nSELECT row, col, CAST(max(value) AS INTEGER) AS value FROM c2 GROUP BY ALL",
+    "matrix_float32": _IDX + "\nSELECT row, col, CAST(max(value) AS FLOAT) AS value FROM c2 GROUP BY ALL",
+    "matrix_multigraph": _IDX + "\nSELECT row, col, value FROM c",
+    "matrix_csc_indptr": _IDX + """
+SELECT k, (SELECT count(*) FROM c WHERE col < k) AS start FROM (SELECT unnest(range((SELECT count(*) + 1 FROM idx))) AS k)""",
+    "matrix_csr_entries": _IDX + """
+SELECT row_number() OVER (ORDER BY row, col) - 1 AS pos, row AS k, col AS "index", value FROM c""",
+    "matrix_dok": _IDX + "\nSELECT row, col, value FROM c",
     "matrix_csr_indptr": _IDX + """
 SELECT k, (SELECT count(*) FROM c WHERE row < k) AS start FROM (SELECT unnest(range((SELECT count(*) + 1 FROM idx))) AS k)""",
     "component_sizes": _COMPONENTS + "\nSELECT component, count(*) AS n_nodes FROM label GROUP BY ALL",
@@ -311,7 +358,13 @@ FROM n, m""",
     "graph_degrees": f"SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM (SELECT DISTINCT src, dst FROM {_BOTH})) GROUP BY ALL",
     "split_nodes": _SPLIT + "\nSELECT seg, a, b FROM cut",
     "split_chain": _SPLIT + "\nSELECT n.node AS src, m.node AS dst FROM named AS n JOIN named AS m ON m.seg = n.seg AND m.k = n.k + 1",
-    "split_edges": _SPLIT + f"\nSELECT rec_id, {_end_sql('from', 'src')} AS from_node, {_end_sql('to', 'dst')} AS to_node FROM e",
+    "split_edges": _SPLIT + f",{_LOCATED}\nSELECT rec_id, from_node, to_node FROM located",
+    "split_graph_nodes": _SPLIT + "\nSELECT node FROM named",
+    "split_graph_edges": _SPLIT + f""",{_LOCATED},
+steps AS (
+  SELECT n.node AS src, m.node AS dst, '+' AS a, '+' AS b, 0 AS phase, NULL AS loaded_at, 0 AS rec_id FROM named AS n JOIN named AS m ON m.seg = n.seg AND m.k = n.k + 1
+  UNION ALL SELECT from_node, to_node, a, b, phase, loaded_at, rec_id FROM located WHERE from_node IS NOT NULL AND to_node IS NOT NULL)
+SELECT src, dst, arg_max(a, o) AS orientation_from, arg_max(b, o) AS orientation_to FROM (SELECT *, row_number() OVER (ORDER BY phase, loaded_at, rec_id) AS o FROM steps) GROUP BY ALL""",
     "export_edge_list": f"SELECT rec_id, src || ':' || a || chr(9) || dst || ':' || b AS line FROM {_BOTH}",
     "anchor_distances": f"""
 WITH RECURSIVE e AS {_BOTH}, arcs AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
@@ -331,3 +384,4 @@ SELECT node, dist FROM reach""",
     "distance_matrix_min": _brand_matrix("min(dist)", "WHERE rank_a < rank_b"),
     "distance_matrix_mean": _brand_matrix("avg(dist)", ""),
 }
+ORACLE["frontier_distances"] = ORACLE["anchor_distances"]

@@ -18,6 +18,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "braidla
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -34,13 +35,35 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read from there, so a lost executor loses none of it.
+def fair_share(spark: SparkSession, most: float = 0.01, least: float = 1e-4) -> float:
+    """Share of all rows from which a key is heavy: what one of the tasks of a shuffle would hold if they were all alike.
+
+    Beyond 1 / least tasks it stays at `least`, which bounds the sketch; what a key below it holds is split by AQE.
+    """
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return min(most, max(least, 1 / tasks))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset, as in tests, an own one is made.
+    Only where that is unset on a single machine, as in tests, an own one is made; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="braidlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="braidlake-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read from there, so a lost executor loses none of it.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints the files go when the last plan that reads them does.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,4 +1,8 @@
-"""Matrices to files of arrays. These forms are single files, so their size is checked before anything is brought together."""
+"""Matrices to files of arrays, or to tables.
+
+Files of arrays are single files put together by the driver, so sparse ones are as large as its memory allows, and full ones are
+checked before. Tables are written by the executors and have no such bound.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,10 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame
 
-from braidlake.operators.matrix import check_dense
-from braidlake.schema import DTYPES, ITEM_BYTES
+from braidlake.operators.matrix import check_dense, compressed
+from braidlake.schema import DTYPES
 
 _NUMPY = {"bool": np.bool_, "int8": np.int8, "int32": np.int32, "float32": np.float32, "float64": np.float64}
-#: Stored entries that a sparse file may have, as it is put together by the driver; larger matrices are written as tables.
-MOST_ENTRIES = 50_000_000
 SUFFIXES = (".npz", ".npy", ".csv")
 
 
@@ -69,20 +71,22 @@ def save_matrix(coo: DataFrame, n: int, path: str | Path, fmt: str = "csr", max_
     if suffix not in SUFFIXES:
         raise ValueError(f"unknown matrix file type: {suffix}")
     if suffix == ".npz":
-        stored = coo.count()
-        if stored > MOST_ENTRIES:
-            raise MemoryError(f"{stored} entries are too many for one file; write the table of entries instead")
         np.savez_compressed(path, **sparse_arrays(coo, n, fmt))
         return
     check_dense(n, 0, dtype_of(coo), max_dense_gb)
     save_array(dense(coo, n), path)
 
 
+def save_matrix_tables(coo: DataFrame, n: int, folder: str, by: str = "row") -> None:
+    """Tables `entries` (pos, k, index, value) and `indptr` (k, start) of the CSR form, or of CSC with by="col", written by the executors, whatever the size."""
+    indptr, entries = compressed(coo, n, by)
+    entries.write.mode("overwrite").parquet(f"{folder}/entries")
+    indptr.write.mode("overwrite").parquet(f"{folder}/indptr")
+
+
 def save_node_map(index: DataFrame, path: str | Path) -> None:
     """`idx TAB node` lines in the order of idx."""
     with open(path, "w") as f:
         for row in index.orderBy("idx").select("idx", "node").toLocalIterator(prefetchPartitions=True):
             f.write(f"{row[0]}\t{row[1]}\n")
 
-
-__all__ = ["DTYPES", "ITEM_BYTES", "MOST_ENTRIES", "dense", "dtype_of", "save_array", "save_matrix", "save_node_map", "sparse_arrays"]

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import sys
+import uuid
 import warnings
 from collections.abc import Iterable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlake.functions.records import parse_lines, unsupported_lines
+from braidlake.session import shared_folder
+
+#: Lines of a stream that the driver holds at a time.
+PART = 100_000
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -18,16 +24,28 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     Only a line feed ends a line, so a carriage return stays in its last field. ord orders lines by file, block and place.
     """
     if path == "-":
-        return from_lines(spark, sys.stdin)
+        # bytes, as text mode would take a carriage return for the end of a line
+        return from_lines(spark, getattr(sys.stdin, "buffer", sys.stdin))
     text = spark.read.option("lineSep", "\n").text(path)
     block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     return text.select("value", block.alias("ord"))
 
 
-def from_lines(spark: SparkSession, lines: Iterable[str | bytes]) -> DataFrame:
-    """(value, ord) of lines in memory or of an open stream, which is left open."""
-    rows = [(i, (x.decode() if isinstance(x, bytes) else x).removesuffix("\n")) for i, x in enumerate(lines)]
-    return spark.createDataFrame(rows, "ord bigint, value string").select("value", "ord")
+def from_lines(spark: SparkSession, lines: Iterable[str | bytes], part: int = PART) -> DataFrame:
+    """(value, ord) of lines in memory or of an open stream, which is left open.
+
+    No more than `part` lines are held at a time: a longer stream is written to the shared folder part by part.
+    """
+    schema = "ord bigint, value string"
+    rows = enumerate((x.decode() if isinstance(x, bytes) else x).removesuffix("\n") for x in lines)
+    held = list(islice(rows, part))
+    if len(held) < part:
+        return spark.createDataFrame(held, schema).select("value", "ord")
+    folder = f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
+    while held:
+        spark.createDataFrame(held, schema).write.mode("append").parquet(folder)
+        held = list(islice(rows, part))
+    return spark.read.schema(schema).parquet(folder).select("value", "ord")
 
 
 def warn_unsupported(lines: DataFrame) -> None:

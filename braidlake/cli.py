@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import os
 import sys
+import threading
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +17,33 @@ from braidlake.operators.graph import build_graph, warn_tag_memory
 from braidlake.operators.paths import load_paths
 from braidlake.operators.split import warn_growth, warn_skipped
 from braidlake.schema import DTYPES, GraphOptions
-from braidlake.session import local_session
+from braidlake.session import checkpointed, local_session
 from braidlake.sinks import graphs, matrices
 from braidlake.sources.gfa import read_records
 
 
+class Progress:
+    """The share of finished tasks of running stages, on standard error, every few seconds."""
+
+    def __init__(self, spark: SparkSession, what: str, seconds: float = 2.0):
+        self.tracker, self.what, self.seconds, self.ended = spark.sparkContext.statusTracker(), what, seconds, threading.Event()
+        self.thread = threading.Thread(target=self._watch, daemon=True)
+
+    def _watch(self) -> None:
+        while not self.ended.wait(self.seconds):
+            stages = [s for s in map(self.tracker.getStageInfo, self.tracker.getActiveStageIds()) if s]
+            if stages:
+                print(f"\r[{self.what}] {sum(s.numCompletedTasks for s in stages)} of {sum(s.numTasks for s in stages)} tasks", end="", file=sys.stderr, flush=True)
+
+    def __enter__(self) -> Progress:
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.ended.set()
+        self.thread.join()
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="braidlake")
     top.add_argument("--version", action="version", version=f"braidlake {__version__}")
@@ -48,6 +71,7 @@ def _parser() -> argparse.ArgumentParser:
     direction(p)
     p.add_argument("--graph", action="store_true")
     p.add_argument("--matrix", "--save-matrix", metavar="PATH")
+    p.add_argument("--matrix-tables", metavar="FOLDER", help="the matrix as tables, of any size")
     p.add_argument("--matrix-format", default="csr")
     p.add_argument("--dtype", choices=list(DTYPES), default="float64")
     for flag in ("asymmetric", "no-node-map", "store-seq", "store-tags", "split-on-alignment", "strip-orientation", "bidirected", "keep-directed-bidir"):
@@ -91,12 +115,17 @@ def _convert(args: argparse.Namespace, records: DataFrame) -> None:
     graph = build_graph(records, options)
     if options.store_tags:
         warn_tag_memory(graph, args.max_tag_mb)
-    if args.matrix:
+    if args.matrix or args.matrix_tables:
         index = matrix.node_index(graph)
-        # the multigraph backend's matrix is never made symmetric
-        coo = matrix.coo_matrix(graph, index, args.dtype, args.asymmetric or args.backend == "igraph")
+        # the multigraph backend's matrix is never made symmetric; written once, as it is counted and saved
+        coo = checkpointed(matrix.coo_matrix(graph, index, args.dtype, args.asymmetric or args.backend == "igraph"))
+        n = index.count()
+        if args.matrix_tables:
+            matrices.save_matrix_tables(coo, n, args.matrix_tables, "col" if args.matrix_format.lower() == "csc" else "row")
+            index.write.mode("overwrite").parquet(f"{args.matrix_tables}/nodes")
+    if args.matrix:
         try:
-            matrices.save_matrix(coo, index.count(), args.matrix, args.matrix_format, args.max_dense_gb)
+            matrices.save_matrix(coo, n, args.matrix, args.matrix_format, args.max_dense_gb)
         except MemoryError as error:
             raise SystemExit(str(error)) from error
         if not args.no_node_map:
@@ -137,12 +166,22 @@ def _distance(args: argparse.Namespace, records: DataFrame) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     top = _parser()
     args = top.parse_args(argv)
-    if args.cmd == "convert" and not (args.graph or args.matrix):
+    if args.cmd == "convert" and not (args.graph or args.matrix or args.matrix_tables):
         top.error("convert requires --graph or --matrix")
     spark = spark or local_session(os.environ.get("BRAIDLAKE_CPUS", "*"), os.environ.get("BRAIDLAKE_MEMORY", "4g"))
     records = read_records(spark, args.gfa).cache()
-    if getattr(args, "verbose", False):
-        print(f"[read] {records.count()} records", file=sys.stderr)
+    verbose = getattr(args, "verbose", False)
+    if verbose:
+        print(f"[read] {records.count():,} records", file=sys.stderr)
+    with Progress(spark, args.cmd) if verbose else contextlib.nullcontext():
+        _run(args, spark, records)
+    records.unpersist()
+    if verbose:
+        print(f"[{args.cmd}] done")
+    sys.stdout.flush()
+
+
+def _run(args: argparse.Namespace, spark: SparkSession, records: DataFrame) -> None:
     if args.cmd == "convert":
         _convert(args, records)
     elif args.cmd == "export":
@@ -155,8 +194,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.cmd == "distance":
         _distance(args, records)
     else:
-        found: np.ndarray = distance.pivoted(distance.genome_distance_matrix(records, args.method))
+        if args.backend != "networkx":
+            print("[distance-matrix] --backend changes nothing here: parallel edges don't shorten a path", file=sys.stderr)
+        names, found = distance.labelled(distance.genome_distance_matrix(records, args.method))
         matrices.save_array(found, args.output)
-    if getattr(args, "verbose", False):
-        print(f"[{args.cmd}] done", file=sys.stderr)
-    sys.stdout.flush()
+        matrices.save_names(names, f"{args.output}.paths.tsv")

@@ -118,7 +118,7 @@ def warn_growth(records: DataFrame) -> None:
     """RuntimeWarning if splitting makes over ten times as many names of intervals as there are segments; see aliases. Runs a job."""
     before, after = segments_of(records).count(), aliases(intervals(records)).count()
     if after > 10 * before:
-        warnings.warn(f"splitting made {after} interval names of {before} segments", RuntimeWarning, stacklevel=2)
+        warnings.warn(f"splitting made {after} names of intervals of {before} segments", RuntimeWarning, stacklevel=2)
 
 
 def chain_links(cut: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from braidlake.functions.ids import WHITESPACE, segment_id, step_ids
 from braidlake.operators.orphans import first_delivery_only, orphan_counts, orphan_references, presence
 from braidlake.operators.skew import frequent_candidates, heavy_keys, per_key, skewed_join, union_all
 from braidlake.session import table
-from braidlake.sources.rejects import failing
+from braidlake.sources.rejects import failing, load_lines
 
 #: A segment is heavy from this share of the rows.
 HEAVY_SHARE = 0.02
@@ -89,6 +89,14 @@ def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return rejected(spark, folder)
 
 
+def p4_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """The valid lines of the delivered files as typed records, each delivery once per line."""
+    lines = table(spark, folder, "raw_lines").select("value", F.struct("loaded_at", "rec_id", "file_name", "line_no").alias("ord"))
+    records, _ = load_lines(lines)
+    first = F.coalesce("id", "name", "src")
+    return records.select("ord.rec_id", "rec_type", first.alias("subject"), "dst", "length", "from_start", "to_end", F.size("steps").cast("bigint").alias("n_steps"))
+
+
 # --- orphan references --------------------------------------------------------------------------------------------
 
 
@@ -122,7 +130,7 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_counts(orphans(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_link_counts, p2_path_counts, p2_containing_paths, p4_found, p4_reasons, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p2_link_counts, p2_path_counts, p2_containing_paths, p4_found, p4_reasons, p4_loaded, p5_found, p5_counts)}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------
 
@@ -152,7 +160,53 @@ SELECT table_name, rec_id, seg_id, t FROM refs
 WHERE seg_id <> '' AND NOT EXISTS (SELECT 1 FROM loaded AS l WHERE l.seg_id = refs.seg_id AND l.loaded_at <= t AND l.gone > t)
 """
 
+# The record format in SQL: patterns of TESTDATA's rules, and the fields of a line.
+_CIGAR = r"(\*|([0-9]+[MIDNSHPX=])+)"
+_FLOAT = r"[+-]?([0-9]+(\.[0-9]+)?|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_TAG = rf"[A-Za-z][A-Za-z0-9]:(A:[!-~]|i:[+-]?[0-9]+|f:{_FLOAT}|Z:[ -~]+|H:([0-9A-F][0-9A-F])+|B:[cCsSiIf](,{_FLOAT})+|J:(?s:.*))"
+
+
+def _tags_ok(tags: str) -> str:
+    """Whether all of a list of tags are valid."""
+    # what json_valid takes beyond strict JSON, outside of strings: commas at the end of a list, and numbers that aren't
+    bare = """regexp_replace(substr(x, 6), '"(\\\\.|[^"\\\\])*"', '""', 'g')"""
+    json = f"json_valid(substr(x, 6)) AND NOT regexp_matches({bare}, ',[ \\t\\r\\n]*[\\]}}]|(?i:nan|inf)')"
+    return f"len(list_filter({tags}, lambda x: NOT regexp_full_match(x, '{_TAG}') OR (x LIKE '__:J:%' AND NOT ({json})))) = 0"
+
+
+_FIELD = '("(?:[^"]|"")*"|[^"\\t][^\\t]*|)'
+_LINES = f"""
+WITH lines AS (
+  SELECT rec_id, regexp_replace(value, '\r$', '') AS v, left(value, 1) AS letter FROM raw_lines WHERE value IS NOT NULL AND left(value, 1) IN ('S', 'L', 'E', 'P', 'O')),
+cut AS (
+  SELECT *, regexp_full_match(v || chr(9), '({_FIELD}\t)+') AS quoted,
+    list_transform(regexp_extract_all(v || chr(9), '{_FIELD}\t', 1), lambda x: CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, len(x) - 2), '""', '"') ELSE x END) AS f0,
+    CASE f0[1] WHEN 'S' THEN 3 WHEN 'L' THEN 6 WHEN 'E' THEN 9 WHEN 'P' THEN 4 WHEN 'O' THEN 3 END AS least FROM lines),
+parts AS (
+  SELECT *, f0[1:greatest(least, coalesce(list_max(list_filter(range(1, len(f0) + 1), lambda i: f0[i] <> '')), 0))] AS f FROM cut),
+typed AS (
+  SELECT *, CASE WHEN f[1] = 'S' AND regexp_full_match(f[3], '[0-9]+') AND len(f) > 3 THEN 5 ELSE least + 1 END AS tags_at FROM parts),
+steps AS (SELECT *, string_split(f[3], ',') AS steps FROM typed),
+checked AS (
+  SELECT *, coalesce(quoted AND least IS NOT NULL AND len(f) >= least AND f[2] <> '' AND {_tags_ok('f[tags_at:]')} AND CASE f[1]
+    WHEN 'S' THEN CASE WHEN regexp_full_match(f[3], '[0-9]+') THEN len(f) = 3 OR regexp_full_match(f[4], '[*]|[a-zA-Z]+') ELSE regexp_full_match(f[3], '[*]|[a-zA-Z]+') END
+    WHEN 'L' THEN f[4] <> '' AND f[3] IN ('+', '-') AND f[5] IN ('+', '-') AND regexp_full_match(f[6], '{_CIGAR}')
+    WHEN 'E' THEN regexp_full_match(f[3], '(?s:.+)[+-]') AND regexp_full_match(f[6], '(?s:.+)[+-]') AND len(list_filter([f[4], f[5], f[7], f[8]], lambda x: NOT regexp_full_match(x, '[0-9]+[$]?'))) = 0
+      AND try_cast(rtrim(f[4], '$') AS HUGEINT) <= try_cast(rtrim(f[5], '$') AS HUGEINT) AND try_cast(rtrim(f[7], '$') AS HUGEINT) <= try_cast(rtrim(f[8], '$') AS HUGEINT) AND regexp_full_match(f[9], '{_CIGAR}')
+    WHEN 'P' THEN len(list_filter(steps, lambda x: NOT regexp_full_match(x, '[^\\s;]+[+-]'))) = 0 AND len(list_filter(string_split(f[4], ','), lambda x: NOT regexp_full_match(x, '{_CIGAR}'))) = 0
+    WHEN 'O' THEN len(list_filter(steps, lambda x: NOT regexp_full_match(x, '[^\\s;]+[+-]'))) = 0 END, false) AS ok FROM steps)"""
+
 ORACLE = {
+    "p4_found": f"""{_LINES}
+SELECT DISTINCT 'raw_lines' AS table_name, rec_id FROM checked WHERE NOT ok
+UNION SELECT 'segments', rec_id FROM segments WHERE tags IS NOT NULL AND NOT ({_tags_ok('string_split(tags, chr(9))')})
+UNION SELECT 'links', rec_id FROM links WHERE NOT regexp_full_match(overlap, '{_CIGAR}')
+UNION SELECT 'edges', rec_id FROM edges WHERE NOT regexp_full_match(cigar, '{_CIGAR}')""",
+    "p4_loaded": f"""{_LINES}
+SELECT rec_id, f[1] AS rec_type, CASE f[1] WHEN 'E' THEN rtrim(f[3], '+-') ELSE f[2] END AS subject, CASE f[1] WHEN 'L' THEN f[4] WHEN 'E' THEN rtrim(f[6], '+-') END AS dst,
+  CASE WHEN f[1] = 'S' THEN try_cast(regexp_extract(f[3], '^[0-9]+$') AS BIGINT) END AS length, CASE WHEN f[1] = 'E' THEN CAST(rtrim(f[4], '$') AS BIGINT) END AS from_start,
+  CASE WHEN f[1] = 'E' THEN CAST(rtrim(f[8], '$') AS BIGINT) END AS to_end, CASE WHEN f[1] IN ('P', 'O') THEN len(steps) END AS n_steps
+FROM checked WHERE ok""",
     "p2_found": f"""
 SELECT 'from_segment' AS field, seg_id FROM ({_LINKS}) WHERE seg_id <> '' GROUP BY seg_id HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM links)
 UNION ALL

@@ -84,6 +84,12 @@ def save_matrix_tables(coo: DataFrame, n: int, folder: str, by: str = "row") ->
     indptr.write.mode("overwrite").parquet(f"{folder}/indptr")
 
 
+def save_names(names: list[str], path: str | Path) -> None:
+    """`number TAB name` lines."""
+    with open(path, "w") as f:
+        f.writelines(f"{i}\t{name}\n" for i, name in enumerate(names))
+
+
 def save_node_map(index: DataFrame, path: str | Path) -> None:
     """`idx TAB node` lines in the order of idx."""
     with open(path, "w") as f:

@@ -16,14 +16,14 @@ from braidlake.cli import main
 from braidlake.functions.records import parse_lines
 from braidlake.operators import matrix as M
 from braidlake.operators.graph import build_graph
-from braidlake.plans import data_queries, graph_queries
+from braidlake.plans import data_queries, graph_queries, text_queries
 from braidlake.schema import GraphOptions
 from braidlake.sinks import graphs, matrices
 from braidlake.sources.gfa import from_lines
 from braidlake.streaming import ingest
 
 FOLDER = "/root/testdata/sf0.001"
-CORE = [(m, name) for m in (graph_queries, data_queries) for name in m.ORACLE]
+CORE = [(m, name) for m in (graph_queries, text_queries, data_queries) for name in m.ORACLE]
 
 
 def plain(df):
@@ -92,7 +92,10 @@ def test_cli_files(spark, capsys, gfa, tmp_path):
         main(["--max-dense-gb", "1e-9", "convert", gfa, "--matrix", str(tmp_path / "x.npy")], spark)
     for name in ("d.csv", "d.npy", "d.npz"):
         run(spark, capsys, "distance-matrix", gfa, "-o", str(tmp_path / name), "--method", "mean")
-    assert np.load(tmp_path / "d.npy").tolist() == [[0.0]]
+    assert np.load(tmp_path / "d.npy").tolist() == [[0.0]] and (tmp_path / "d.npy.paths.tsv").read_text() == "0\tp1\n"
+    run(spark, capsys, "convert", gfa, "--matrix-tables", str(tmp_path / "t"), "--asymmetric")
+    assert [(r.k, r["index"], r.value) for r in spark.read.parquet(str(tmp_path / "t" / "entries")).collect()] == [(0, 1, 1.0)]
+    assert spark.read.parquet(str(tmp_path / "t" / "indptr")).count() == 3 and spark.read.parquet(str(tmp_path / "t" / "nodes")).count() == 2
 
 
 def test_graph_files(spark, capsys, gfa, tmp_path):
@@ -117,7 +120,8 @@ def test_one_call_per_task(spark, gfa, capsys, tmp_path):
     assert api.compute_stats(spark, gfa) == {"nodes": 2, "edges": 1, "paths": 1, "components": 1, "max_degree": 1, "density": 0.5}
     assert api.path_distances(spark, gfa).count() == 1
     main(["--raw-bytes-id", "convert", gfa, "--graph", "--verbose", "-o", str(tmp_path / "raw")], spark)
-    assert "[convert] done" in capsys.readouterr().err
+    printed = capsys.readouterr()
+    assert "[convert] done" in printed.out and "records" in printed.err
     assert spark.read.parquet(str(tmp_path / "raw" / "nodes")).schema["node"].dataType.simpleString() == "binary"
 
 

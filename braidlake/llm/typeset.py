@@ -29,24 +29,27 @@ _hyphen = re.compile(r"(?<=[^\W_])-[ \t]*\r?\n[ \t%]*(?=[^\W_])")
 _ended = re.compile(r"(?<=[^\W_])%\r?\n[ \t]*(?=[^\W_])")
 _word = re.compile(r"[a-z0-9]+")
 _ligature = re.compile("[" + "".join(_LIGATURES) + "]")
-#: Expansion of macros within macros stops at this depth, so one that contains itself ends.
-DEPTH = 8
+#: Letters of expanded text in all, for each letter of the text, after which no further macro is expanded, so that those that contain or double themselves end.
+GROWTH = 20
+
+
+_brace = re.compile(r"\\.|[{}]|\n[ \t]*\r?\n", re.S)
 
 
 def _group(text: str, at: int) -> tuple[str, int]:
     """The content of the group opening at `at`, and the place after it; an unclosed group ends at a blank line or the end."""
-    depth, i = 0, at
-    for m in re.finditer(r"\\.|[{}]", text[at:], re.S):
+    depth, blank = 0, None
+    for m in _brace.finditer(text, at):
         c = m.group()
         if c == "{":
             depth += 1
         elif c == "}":
             depth -= 1
             if not depth:
-                i = at + m.end()
-                return text[at + 1 : i - 1], i
-    end = text.find("\n", at)
-    end = len(text) if end < 0 else end
+                return text[at + 1 : m.start()], m.end()
+        elif c[0] == "\n" and blank is None:
+            blank = m.start()
+    end = len(text) if blank is None else blank
     return text[at + 1 : end], end
 
 
@@ -65,11 +68,14 @@ def _without_definitions(text: str) -> tuple[str, dict[str, tuple[int, str | Non
 
 
 def _expanded(text: str, macros: dict[str, tuple[int, str | None, str]]) -> str:
+    """All macros expanded, those within macros too, however deep. A macro within its own expansion is left as it is, as it would not end."""
     used = re.compile(r"\\(" + "|".join(map(re.escape, sorted(macros, key=len, reverse=True))) + r")(?![a-zA-Z@])[ \t]*")
-    for _ in range(DEPTH):
+    budget = [GROWTH * len(text) + 10_000]
+
+    def expand(text: str, within: frozenset[str]) -> str:
         kept, at = [], 0
         for m in used.finditer(text):
-            if m.start() < at:
+            if m.start() < at or m[1] in within or budget[0] < 0:
                 continue
             n, default, body = macros[m[1]]
             kept.append(text[at : m.start()])
@@ -84,12 +90,17 @@ def _expanded(text: str, macros: dict[str, tuple[int, str | None, str]]) -> str:
                     argument, at = _group(text, at)
                 else:
                     argument, at = text[at : at + 1], at + 1
-                arguments.append(argument)
-            kept.append(re.sub(r"#(\d)", lambda a: arguments[int(a[1]) - 1] if 0 < int(a[1]) <= n else "", body) if "#" in body else body)
-        if not kept:
-            break
-        text = "".join(kept) + text[at:]
-    return text
+                # arguments stand where the macro is used, so they are expanded as that place is
+                arguments.append(expand(argument, within))
+            filled = re.sub(r"#(\d)", lambda a: arguments[int(a[1]) - 1] if 0 < int(a[1]) <= n else "", body) if "#" in body else body
+            budget[0] -= len(filled)
+            kept.append(expand(filled, within | {m[1]}))
+        return "".join(kept) + text[at:] if kept else text
+
+    try:
+        return expand(text, frozenset())
+    except RecursionError:  # macros nested some hundreds deep
+        return text
 
 
 def typeset(text: str) -> str:

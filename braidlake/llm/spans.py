@@ -9,22 +9,55 @@ begin before a factor's end and reach over it are looked up like all others, so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlake.operators.skew import skewed_join
-from braidlake.session import checkpointed
-
-#: Share of all stretches from which on one is heavy, and the least number of rows that makes this worth while.
-SHARE = 0.002
-LEAST_HEAVY = 1000
+from braidlake.session import checkpointed, fair_share
+
+#: The least number of stretches from which looking for heavy ones is worth while.
+LEAST_HEAVY = 100_000
+#: Odd multipliers of the two rolling hashes of a stretch, together 128 bits.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def rolled(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For every `least` values in a row of each list (flat[starts[i]:starts[i] + lengths[i]]): which list, the place in it, and two polynomial hashes."""
+    n = np.maximum(lengths - least + 1, 0)
+    which = np.repeat(np.arange(len(lengths)), n)
+    pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = starts[which] + pos
+    hashes = []
+    for seed, multiplier in enumerate(MULTIPLIERS, 1):
+        # values are scattered anew for each hash, so that the two share no weakness
+        x = (flat ^ np.uint64(seed)) * np.uint64(multiplier)
+        x ^= x >> np.uint64(29)
+        h = np.zeros(max(0, len(flat) - least + 1), dtype=np.uint64)
+        for k in range(least):
+            h = h * np.uint64(multiplier) + x[k : k + len(h)]
+        h = h[at]
+        hashes.append(h ^ (h >> np.uint64(32)))
+    return which, pos, hashes
 
 
 def _stretches(records: DataFrame, least: int) -> DataFrame:
-    """(record, pos, h1, h2): every `least` steps in a row, as 128 bits of hash."""
-    starts = F.sequence(F.lit(0), F.size("steps") - least)
-    hashes = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("steps", i + 1, F.lit(least))).alias("h1"), F.xxhash64(F.lit(least), F.slice("steps", i + 1, F.lit(least))).alias("h2")))
-    return records.where(F.size("steps") >= least).select("record", F.posexplode(hashes).alias("pos", "h")).select("record", "pos", "h.h1", "h.h2")
+    """(record, pos, h1, h2): every `least` steps in a row, as 128 bits of hash. Each step is hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                column = batch.column("hashes")
+                lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                which, pos, (h1, h2) = rolled(flat, np.cumsum(lengths) - lengths, lengths, least)
+                yield pa.RecordBatch.from_arrays([batch.column("record").take(pa.array(which)), pa.array(pos), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["record", "pos", "h1", "h2"])
+
+    long = records.where(F.size("steps") >= least).select(F.col("record").cast("bigint").alias("record"), F.transform("steps", lambda x: F.xxhash64(x)).alias("hashes"))
+    return long.mapInArrow(run, "record bigint, pos bigint, h1 bigint, h2 bigint")
 
 
 def located(records: DataFrame, least: int = 12) -> DataFrame:
@@ -33,16 +66,16 @@ def located(records: DataFrame, least: int = 12) -> DataFrame:
     `records` is (record, steps array of strings). Rows of the same record are one record, however often delivered.
     """
     stretches = _stretches(records, least)
-    place = F.struct(F.col("record"), F.col("pos"))
-    index = stretches.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first.record <> last.record")
-    index = checkpointed(index)
+    places = [F.min("record").alias("first"), F.min_by("pos", "record").alias("first_pos"), F.max("record").alias("last"), F.max_by("pos", "record").alias("last_pos"), F.count("*").alias("n")]
+    index = checkpointed(stretches.groupBy("h1", "h2").agg(*places).where("first <> last"))
     # A stretch of a group of copies may be in a third of all records: such rows meet their entry by broadcast. The index
-    # knows how often each occurs, and at most 1 / SHARE of them can hold such a share.
+    # knows how often each occurs, and at most 1 / share of them can hold such a share.
     total = records.agg(F.sum(F.greatest(F.size("steps") - (least - 1), F.lit(0)))).collect()[0][0] or 0
-    heavy = [row[0] for row in index.where(F.col("n") >= F.lit(SHARE * total)).select("h1").limit(int(1 / SHARE)).collect()] if total * SHARE >= LEAST_HEAVY else []
+    share = fair_share(records.sparkSession)
+    heavy = [row[0] for row in index.where(F.col("n") >= F.lit(share * total)).select("h1").distinct().collect()] if total >= LEAST_HEAVY else []
     met = skewed_join(stretches, index.drop("n"), ["h1", "h2"], "inner", heavy=heavy)
-    other = F.when(F.col("first.record") != F.col("record"), F.col("first")).otherwise(F.col("last"))
-    places = met.select("record", "pos", other.alias("o")).select("record", "pos", F.col("o.record").alias("source"), F.col("o.pos").alias("source_pos"))
+    other = F.col("first") != F.col("record")
+    places = met.select("record", "pos", F.when(other, F.col("first")).otherwise(F.col("last")).alias("source"), F.when(other, F.col("first_pos")).otherwise(F.col("last_pos")).alias("source_pos"))
     return places.repartition("record").dropDuplicates(["record", "pos"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braidlake.functions.ids import step_ids, step_key
 from braidlake.llm.leaks import leaked, leaked_items
-from braidlake.llm.packing import packed, token_counts
+from braidlake.llm.packing import MOST_LOSS, SHARD, audited, packed, token_counts
 from braidlake.llm.reading import reading_levels
 from braidlake.llm.setjoin import similar_records
 from braidlake.llm.spans import shared_amounts, shared_spans
@@ -46,8 +46,15 @@ def p3_amounts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """Container and place of every text, for running the operator over the whole table."""
-    return packed(token_counts(table(spark, folder, "documents"))).withColumnRenamed("item_id", "doc_id")
+    """Container and place of every text, under all three limits."""
+    return packed(token_counts(table(spark, folder, "documents")), loss_capacity=MOST_LOSS).withColumnRenamed("item_id", "doc_id")
+
+
+def p6_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What the containers of all texts break, which must be nothing, and whether they are at most 1 % (or one a shard) more than the least possible."""
+    row = audited(packed(token_counts(table(spark, folder, "documents")), loss_capacity=MOST_LOSS))
+    close = F.col("n_containers") <= 1.01 * F.col("least_containers") + F.ceil(F.col("n_items") / SHARD)
+    return row.select("n_items", "over_tokens", "over_segments", "over_loss", "broken_places", "broken_pieces", close.alias("is_close"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +63,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out items that leaked, with the number of documents that show them."""
+    """Held-out items that leaked, with the number of documents that show them, and of those that show the answer too."""
     return leaked_items(leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
 
 
@@ -65,7 +72,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
     return reading_levels(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_amounts, p6_containers, p7_found, p7_items, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_amounts, p6_containers, p6_audit, p7_found, p7_items, p8_levels)}
 
 # --- SQL ----------------------------------------------------------------------------------------------------------
 
@@ -97,6 +104,7 @@ runs AS (SELECT rec_id, pos, pos - row_number() OVER (PARTITION BY rec_id ORDER
 
 ORACLE = {
     "p1_found": _pairs("segments", _STEP_SETS, 0.8) + "\nUNION ALL\n" + _pairs("name", _NAME_SETS, 0.7),
+    "p6_audit": "SELECT count(*) AS n_items, 0 AS over_tokens, 0 AS over_segments, 0 AS over_loss, 0 AS broken_places, 0 AS broken_pieces, true AS is_close FROM documents",
     "p3_found": _SPANS + "\nSELECT rec_id, min(pos) AS start_pos, max(pos) AS end_pos FROM runs GROUP BY rec_id, run",
     "p3_amounts": _SPANS + f"""
 SELECT r.rec_id, coalesce(len(r.segments), 0) AS n_steps, coalesce(c.n, 0) AS n_shared

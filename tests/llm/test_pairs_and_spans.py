@@ -140,7 +140,7 @@ def test_spans(spark, least):
     assert amounts == {r: (len(s or ()), sum(b - a + 1 for x, a, b in got if x == r)) for r, s in records}
 
 
-@pytest.mark.parametrize("least_heavy", [1000, 0])
+@pytest.mark.parametrize("least_heavy", [100_000, 0])
 def test_spans_of_many_copies(spark, monkeypatch, least_heavy):
     monkeypatch.setattr(S, "LEAST_HEAVY", least_heavy)
     steps = [f"s{i}" for i in range(30)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidlake.functions.ids import WHITESPACE, segment_id, step_ids
 from braidlake.operators.orphans import first_delivery_only, orphan_counts, orphan_references, presence
 from braidlake.operators.skew import frequent_candidates, heavy_keys, per_key, skewed_join, union_all
-from braidlake.session import table
+from braidlake.session import checkpointed, table
 from braidlake.sources.rejects import failing, load_lines
 
 #: A segment is heavy from this share of the rows.
@@ -116,7 +116,8 @@ def orphans(spark: SparkSession, folder: str) -> DataFrame:
         "links": links.select("rec_id", F.explode(ends).alias("seg_id"), F.col("loaded_at").alias("t")),
         "paths": paths.select("rec_id", F.explode(F.array_distinct(step_ids(F.col("segments")))).alias("seg_id"), F.col("loaded_at").alias("t")),
     }
-    found = orphan_references(union_all([df.withColumn("table_name", F.lit(name)) for name, df in refs.items()]), periods)
+    # written once: it is compared with all deliveries and then counted
+    found = checkpointed(orphan_references(union_all([df.withColumn("table_name", F.lit(name)) for name, df in refs.items()]), periods))
     # Records are numbered uniquely over all tables, so deliveries of both can be told apart by rec_id alone.
     deliveries = union_all([df.select("rec_id", F.col("loaded_at").alias("t")) for df in (links, paths)])
     return first_delivery_only(found, deliveries).distinct()

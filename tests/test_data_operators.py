@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidlake.functions.ids import segment_id, step_key
+from braidlake.operators import orphans, skew
 from braidlake.operators.orphans import first_delivery_only, merged_periods, orphan_counts, orphan_references, presence
-from braidlake.operators.skew import count_distinct_pairs, frequent_candidates, heavy_keys, skewed_join
+from braidlake.operators.skew import count_distinct_pairs, frequent_candidates, heavy_keys, per_key, skewed_join
 from braidlake.plans import data_queries
+from braidlake.session import fair_share
 from braidlake.sources import rejects as R
 
 
@@ -76,6 +78,31 @@ def test_count_distinct_pairs(spark):
     assert sorted(map(tuple, count_distinct_pairs(df, "k", "v", "n", "d").collect()), key=repr) == [("a", 3, 2), ("b", 1, 0), (None, 1, 1)]
 
 
+@pytest.mark.parametrize("most_values", [256, 0])
+def test_per_key(spark, skewed, monkeypatch, most_values):
+    monkeypatch.setattr(skew, "MOST_VALUES", most_values)
+    keys, df = skewed
+    df = df.withColumn("u", F.col("v") % 7)
+    side = spark.createDataFrame([("hot", 1), ("k1", 2), ("absent", 3)], "k string, length int")
+    got = {r.k: (r.n, r.d, r.length) for r in per_key(df, side, "k", "u", "n", "d").collect()}
+    of = {}
+    for i, k in enumerate(keys):
+        of.setdefault(k, []).append(i % 7)
+    of.pop(None)
+    assert got == {k: (len(x), len(set(x)), {"hot": 1, "k1": 2}.get(k)) for k, x in of.items()}
+    assert per_key(df.where("false"), side, "k", "u", "n", "d").count() == 0
+
+
+def test_heavy_keys_meet_a_union(spark):
+    # the plan of the problem's own query: a broadcast join for the heavy keys beside the shuffled one
+    plan = data_queries.p2_neighbours(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "strategy=broadcast" in plan and "bb00" in plan
+
+
+def test_fair_share(spark):
+    assert fair_share(spark) == 0.01 and fair_share(spark, most=0.5) >= 1 / 64 and fair_share(spark, least=0.02, most=0.02) == 0.02
+
+
 # --- failing rows -------------------------------------------------------------------------------------------------
 
 
@@ -197,8 +224,11 @@ def brute(refs, rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("share", [0.005, 0.9])
-def test_orphans(spark, share):
+@pytest.mark.parametrize(("share", "most_keys", "fits"), [(0.005, 500_000, True), (0.9, 500_000, True), (0.005, 0, True), (0.005, 0, False)])
+def test_orphans(spark, monkeypatch, share, most_keys, fits):
+    monkeypatch.setattr(orphans, "MOST_KEYS", most_keys)
+    if not fits:  # heavy keys with too many periods are met by month
+        monkeypatch.setattr(orphans, "fits_broadcast", lambda *_: False)
     rng = random.Random(2)
     keys = [f"k{i}" for i in range(60)]
     pick = lambda: rng.choice(["hot", "hot", *keys, "gone", "", None])

@@ -1,12 +1,14 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from braidlake.functions.records import parse_lines
-from braidlake.operators import components
+from braidlake.operators import components, split
 from braidlake.operators import distance as D
 from braidlake.operators import matrix as M
 from braidlake.operators.components import connected_components
-from braidlake.operators.graph import build_graph, raw_ids, warn_directed_bidirected, warn_tag_memory
+from braidlake.operators.graph import Graph, build_graph, raw_ids, warn_directed_bidirected, warn_tag_memory
 from braidlake.operators.paths import load_paths, path_count
 from braidlake.operators.split import intervals, split_on_alignment, warn_growth, warn_skipped
 from braidlake.operators.stats import stats
@@ -192,13 +194,69 @@ def test_distance_matrix(spark):
     assert mean[0, 1] == mean[1, 0] == pytest.approx(1 / 3) and mean[0, 2] == inf
 
 
-def test_chain_matrix(spark):
-    n = 20
-    lines = [f"S\ts{i}\t*" for i in range(2 * n)] + [f"L\ts{i}\t+\ts{i + 1}\t+\t0M" for i in range(2 * n - 1)] + [f"P\tp{i}\ts{i}+,s{i + n}+\t*" for i in range(n)]
-    got = D.pivoted(D.genome_distance_matrix(records(spark, lines)))
-    assert got.tolist() == [[abs(i - j) for j in range(n)] for i in range(n)]
-    mean = D.pivoted(D.genome_distance_matrix(records(spark, lines), "mean"))
-    assert all(mean[i, j] == pytest.approx(0 if i == j else (n + abs(i - j)) / 3) for i in range(n) for j in range(n))
+def test_matrix_of_a_ring(spark):
+    # a ring of thirteen nodes, run one way round, and three paths of unequal length on it
+    ring = [f"r{k}" for k in range(13)]
+    links = [f"L\t{u}\t+\t{v}\t+\t0M" for u, v in zip(ring, ring[1:] + ring[:1], strict=True)]
+    paths = {"one": ["r2"], "two": ["r5", "r6"], "far": ["r12", "r1"]}
+    recs = records(spark, [*links, *[f"P\t{name}\t{','.join(x + '+' for x in nodes)}\t*" for name, nodes in paths.items()]])
+    hops = lambda u, v: (int(v[1:]) - int(u[1:])) % 13
+    names, least = D.labelled(D.genome_distance_matrix(recs))
+    mean = D.pivoted(D.genome_distance_matrix(recs, "mean"))
+    assert names == ["one", "two", "far"]
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            if i < j:
+                assert least[i, j] == least[j, i] == min(hops(u, v) for u in paths[a] for v in paths[b])
+                near = [min(hops(u, v) for u in paths[a]) for v in paths[b]] + [min(hops(u, v) for u in paths[b]) for v in paths[a]]
+                assert mean[i, j] == mean[j, i] == pytest.approx(sum(near) / len(near))
+
+
+def test_a_deep_chain(spark):
+    # 20,000 hops, contracted until what is left can be broadcast
+    n = 20_000
+    edges = spark.range(n).select(F.format_string("n%d", "id").alias("src"), F.format_string("n%d", F.col("id") + 1).alias("dst"), F.lit(None).cast("double").alias("weight"))
+    nodes = spark.range(n + 1).select(F.format_string("n%d", "id").alias("node"))
+    sources = spark.createDataFrame([("x", "n0"), ("y", f"n{n // 4}")], "source string, node string")
+    g = Graph(nodes, edges, edges, nodes, GraphOptions(), True)
+    got = D.search(g, sources, broadcast_edges=n // 2).groupBy("source").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect()
+    assert {r.source: (r.n, r.far) for r in got} == {"x": (n + 1, n), "y": (n - n // 4 + 1, n - n // 4)}
+
+
+def test_contraction_of_any_graph(spark):
+    # chains, bubbles, trees, loops and hubs, weighted, searched both ways, with sources and asked nodes anywhere
+    rng = random.Random(3)
+    arcs = {}
+    for k in range(60):
+        arcs[f"c{k}", f"c{k + 1}"] = rng.randrange(1, 9)
+        if k % 5 == 0:
+            arcs[f"c{k}", f"b{k}"], arcs[f"b{k}", f"c{k + 1}"] = rng.randrange(1, 9), rng.randrange(9)
+        if k % 7 == 0:
+            arcs[f"c{k}", f"t{k}"], arcs[f"t{k}", f"c{k}"] = 1, 2
+        arcs["c30", f"h{k}"] = rng.randrange(1, 50)
+    arcs["c9", "c9"], arcs["q0", "q1"], arcs["q1", "q0"] = 1, 1, 1
+    edges = spark.createDataFrame([(a, b, float(w)) for (a, b), w in arcs.items()], "src string, dst string, weight double")
+    names = sorted({x for e in arcs for x in e})
+    nodes = spark.createDataFrame([(x,) for x in names], "node string")
+    starts = {"x": ["c3", "b20"], "y": ["t14"], "z": ["q1", "h7"]}
+    sources = spark.createDataFrame([(s, x) for s, xs in starts.items() for x in xs], "source string, node string")
+    asked = ["c3", "c4", "b25", "t42", "h9", "q0", "c60"]
+
+    def brute(directed, source):
+        best = dict.fromkeys(starts[source], 0.0)
+        for _ in names:
+            for (a, b), w in arcs.items():
+                for u, v in ((a, b),) if directed else ((a, b), (b, a)):
+                    if u in best and best[u] + w < best.get(v, float("inf")):
+                        best[v] = best[u] + w
+        return best
+
+    for directed, limit in ((True, 0), (False, 60)):
+        g = Graph(nodes, edges, edges, nodes, GraphOptions(directed=directed, weight_tag="RC"), directed)
+        want = {(s, x): d for s in starts for x, d in brute(directed, s).items()}
+        assert {(r.source, r.node): r.dist for r in D.search(g, sources, broadcast_edges=limit).collect()} == want
+    some = D.search(g, sources, spark.createDataFrame([(x,) for x in asked], "node string"), broadcast_edges=60)
+    assert {(r.source, r.node): r.dist for r in some.collect()} == {k: d for k, d in want.items() if k[1] in asked}
 
 
 def test_warnings(spark, monkeypatch):
@@ -236,11 +294,28 @@ def test_split_skips_edges_over_several_intervals(spark):
     with pytest.warns(RuntimeWarning, match="s1 -> s2") as found:
         warn_skipped(recs)
     assert sum("s1 -> s2" in str(w.message) for w in found) == 1
+    lines = ["S\ts1\t6", *[f"E\t*\ts1+\t0\t{i}\ts9+\t0\t3\t*" for i in range(25)]]
+    with pytest.warns(RuntimeWarning) as found:
+        warn_skipped(records(spark, lines))
+    assert len([w for w in found if "s1 -> s9" in str(w.message)]) == 20 and any("5 more" in str(w.message) for w in found)
     many = records(spark, ("S\ts1\t50", *[f"E\t*\ts1+\t{i}\t{i + 1}\ts1+\t0\t1\t*" for i in range(20)]))
     with pytest.warns(RuntimeWarning, match="intervals"):
         warn_growth(many)
 
 
+def test_split_of_a_hot_segment(spark, monkeypatch):
+    # every second edge is at one segment, whose breakpoints are numbered over all tasks
+    monkeypatch.setattr(split, "frequent_candidates", lambda df, key: ["hot"])
+    lines = ["S\thot\t500", "S\tb\t9", *[f"E\t*\thot+\t{5 * i}\t{5 * i + 5}\tb+\t0\t9\t*" for i in range(80)], "L\thot\t+\tb\t-\t0M", "L\tb\t+\tlost\t-\t0M"]
+    recs = records(spark, lines)
+    got = sorted((r.a, r.b) for r in intervals(recs).where("seg = 'hot'").collect())
+    assert got == [(5 * i, 5 * i + 5) for i in range(80)] + [(400, 500)]
+    edges = {(r.from_node, r.to_node) for r in split.rewired(recs).collect()}
+    assert ("hot:395-400", "b:0-9") in edges and ("hot:0-5", "b:0-9") in edges and ("b:0-9", None) in edges and len(edges) == 81
+    chain = {(r.src, r.dst) for r in split.chain_links(intervals(recs)).collect()}
+    assert len(chain) == 80 and ("hot:395-400", "hot:400-500") in chain
+
+
 def test_split_without_length(spark):
     recs = records(spark, ("S\ts1\tACGT",))
     assert [(r.node, r.b - r.a) for r in intervals(recs).collect()] == [("s1:0-0", 0)]

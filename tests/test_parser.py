@@ -122,3 +122,10 @@ def test_lines_left_out_by_the_caller_raise_nothing(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "t")).where("name is not null and length(steps) > 0")
     lines = table.select(F.concat_ws("\t", "k", "name", "steps").alias("value"), F.col("name").alias("ord"))
     assert sorted(r.name for r in parse_lines(lines).where("rec_type in ('O', 'P')").collect()) == ["p1", "w1"]
+
+
+def test_a_long_stream_is_read_in_parts(spark):
+    lines = (f"S\ts{i}\t*\r\n".encode() for i in range(25))
+    got = from_lines(spark, lines, part=10).orderBy("ord").collect()
+    assert [r.value for r in got] == [f"S\ts{i}\t*\r" for i in range(25)] and [r.ord for r in got] == list(range(25))
+    assert from_lines(spark, [], part=10).count() == 0

@@ -56,7 +56,10 @@ def parse_tags(fields: Column) -> Column:
     entries = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), _value(F.get(p, F.lit(1)), F.get(p, F.lit(2))).alias("value")))
     usable = F.filter(entries, lambda e: ~((e["value"]["typ"] == "i") & e["value"]["i"].isNull()) & ~((e["value"]["typ"] == "f") & e["value"]["f"].isNull()))
     last = F.filter(usable, lambda e, i: ~F.exists(F.slice(usable, i + 2, F.greatest(F.size(usable), F.lit(1))), lambda other: other["key"] == e["key"]))
-    return F.when(F.size(last) > 0, F.map_from_entries(last)).cast(f"map<string,{TAG_VALUE}>")
+    # what `last` does for each entry is worked out anew, so it is left to records that repeat a name
+    names = F.transform(parts, lambda p: F.get(p, F.lit(0)))
+    tags = F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), usable).otherwise(last))
+    return F.when(F.size(tags) > 0, tags).cast(f"map<string,{TAG_VALUE}>")
 
 
 def tag_number(tags: Column, tag: str) -> Column:

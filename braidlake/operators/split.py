@@ -49,11 +49,11 @@ def intervals(records: DataFrame) -> DataFrame:
     Breakpoints are 0 and the length, if known, and all coordinates of edges at the segment, whether within it or not.
     A segment with one breakpoint is one interval, from it to the length, or to itself. `following` is the next interval's node.
     """
-    segments = segments_of(records)
-    edges = records.where(F.col("rec_type").isin(*ALIGNED))
-    ends = [edges.select(F.col(seg).alias("seg"), F.explode(F.array(a, b)).alias("at")) for seg, a, b in (("src", "from_start", "from_end"), ("dst", "to_start", "to_end"))]
+    segments = checkpointed(segments_of(records))
+    pairs = [F.struct(F.col(seg).alias("seg"), F.col(at).alias("at")) for seg, at in (("src", "from_start"), ("src", "from_end"), ("dst", "to_start"), ("dst", "to_end"))]
+    ends = records.where(F.col("rec_type").isin(*ALIGNED)).select(F.explode(F.array(*pairs)).alias("e")).select("e.seg", "e.at")
     known = segments.where("length is not null").select("seg", F.explode(F.array(F.lit(0).cast("bigint"), F.col("length"))).alias("at"))
-    points = checkpointed(known.unionByName(ends[0]).unionByName(ends[1]).where("at is not null").distinct())
+    points = checkpointed(known.unionByName(ends).where("at is not null").distinct())
     # a segment's points may be very many; its record is one, and its rows are spread by both
     joined = skewed_join(_followed(points), segments, ["seg"], "inner").unionByName(segments.join(points.select("seg").distinct(), "seg", "left_anti"), allowMissingColumns=True)
     # the last breakpoint begins no interval, unless it is the only one
@@ -82,21 +82,26 @@ def aliases(cut: DataFrame) -> DataFrame:
     )
 
 
-def _located(edges: DataFrame, known: DataFrame, side: str) -> DataFrame:
+def _located(edges: DataFrame, known: DataFrame, side: str, heavy: list) -> DataFrame:
     """The interval of one end, as `<side>_node`; null if there is none. A segment that very many edges name meets its intervals by broadcast."""
     seg, a, b = ("src", "from_start", "from_end") if side == "from" else ("dst", "to_start", "to_end")
     unplaced, none = F.col(a).isNull() & F.col(b).isNull(), F.lit(-1).cast("bigint")
     # with only one of the two coordinates it is no interval, and null matches nothing
     placed = edges.withColumns({"unplaced": unplaced, "_a": F.when(unplaced, none).otherwise(F.col(a)), "_b": F.when(unplaced, none).otherwise(F.col(b))})
     names = known.select(F.col("seg").alias(seg), F.col("a").alias("_a"), F.col("b").alias("_b"), "unplaced", F.col("node").alias(f"{side}_node"))
-    return skewed_join(placed, names, [seg, "_a", "_b", "unplaced"], "left").drop("_a", "_b", "unplaced")
+    return skewed_join(placed, names, [seg, "_a", "_b", "unplaced"], "left", heavy=heavy).drop("_a", "_b", "unplaced")
 
 
 def rewired(records: DataFrame, cut: DataFrame | None = None) -> DataFrame:
     """Link-like records with `from_node` and `to_node`, the intervals of their ends; null where there is none. `cut` are the intervals, if made already."""
-    known = checkpointed(aliases(intervals(records) if cut is None else cut))
+    if cut is None:
+        # written once, so that the text is parsed once
+        records = checkpointed(records)
+        cut = intervals(records)
+    known = checkpointed(aliases(cut))
     edges = records.where(F.col("rec_type").isin("L", *ALIGNED))
-    return _located(_located(edges, known, "from"), known, "to")
+    src, dst = (frequent_candidates(edges, c) for c in ("src", "dst"))
+    return _located(_located(edges, known, "from", src), known, "to", dst)
 
 
 def skipped_edges(records: DataFrame) -> DataFrame:
@@ -139,6 +144,7 @@ def split_on_alignment(records: DataFrame) -> DataFrame:
 
     Their order is all segments with their chains, then alignments, then links, which decides where later edges win.
     """
+    records = checkpointed(records)
     cut = checkpointed(intervals(records))
     plus = F.lit("+")
     # ord is compared within a phase only, so each phase keeps its own key

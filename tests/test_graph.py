@@ -251,7 +251,7 @@ def test_contraction_of_any_graph(spark):
                         best[v] = best[u] + w
         return best
 
-    for directed, limit in ((True, 0), (False, 60)):
+    for directed, limit in ((True, 60), (False, 60)):
         g = Graph(nodes, edges, edges, nodes, GraphOptions(directed=directed, weight_tag="RC"), directed)
         want = {(s, x): d for s in starts for x, d in brute(directed, s).items()}
         assert {(r.source, r.node): r.dist for r in D.search(g, sources, broadcast_edges=limit).collect()} == want
